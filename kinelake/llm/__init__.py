@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinelake.llm.bpe import op5_bpe
+from kinelake.llm.media import op8_media
 from kinelake.llm.mixing import op3_mixing
 from kinelake.llm.secrets import op1_secrets
 from kinelake.llm.token_counts import op4_token_counts
 from kinelake.llm.url_rules import OP6_SQL, op6_urls
+from kinelake.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_mixing, op4_token_counts, op5_bpe, op6_urls)}
+    return {f.__name__: f for f in (op1_secrets, op3_mixing, op4_token_counts, op5_bpe, op6_urls, op8_media, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
