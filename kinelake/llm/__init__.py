@@ -11,13 +11,14 @@ from kinelake.llm.media import op8_media
 from kinelake.llm.mixing import op3_mixing
 from kinelake.llm.quality import op2_quality
 from kinelake.llm.secrets import op1_secrets
+from kinelake.llm.substring import op9_substrings
 from kinelake.llm.token_counts import op4_token_counts
 from kinelake.llm.url_rules import OP6_SQL, op6_urls
 from kinelake.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_token_counts, op5_bpe, op6_urls, op8_media, op10_warc)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_token_counts, op5_bpe, op6_urls, op8_media, op9_substrings, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
