@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinelake.llm._common import materialize
 from kinelake.llm.bpe import bpe_stage
+from kinelake.llm.jaccard import jaccard_stage
 from kinelake.llm.mixing import mixing_stage
 from kinelake.llm.quality import quality_stage
 from kinelake.llm.secrets import secrets_stage
@@ -13,6 +14,7 @@ from kinelake.llm.secrets import secrets_stage
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("n-gram Jaccard join", jaccard_stage),
     ("secret scans", secrets_stage),
     ("mixing sources", mixing_stage),
     ("BPE encoding", bpe_stage),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinelake.llm.bpe import op5_bpe
+from kinelake.llm.jaccard import op7_jaccard
 from kinelake.llm.media import op8_media
 from kinelake.llm.mixing import op3_mixing
 from kinelake.llm.quality import op2_quality
@@ -18,7 +19,7 @@ from kinelake.llm.warc import op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_token_counts, op5_bpe, op6_urls, op8_media, op9_substrings, op10_warc)}
+    return {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_token_counts, op5_bpe, op6_urls, op7_jaccard, op8_media, op9_substrings, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
