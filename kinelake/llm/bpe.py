@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm._common import text_bytes
 
-CACHE = 300_000
+CACHE = 200_000
 LONGEST_CACHED = 64
 #: Characters handled together; bounds the memory of one index.
 STRETCH = 1_000_000

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import materialize, text_bytes
+from kinelake.llm._common import materialize, release, text_bytes
 from kinelake.llm._hashing import mixed, powers, window_hashes, word_hashes
 from kinelake.llm.components import components
 
@@ -123,6 +123,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             if size >= CHUNK or i == len(texts) - 1:
                 yield batch.slice(at, i + 1 - at), texts[at : i + 1]
                 at, size = i + 1, 0
+    release()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.llm._common import materialize, text_bytes
+from kinelake.llm._common import materialize, release, text_bytes
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -45,8 +45,8 @@ LOW, HIGH, LEAST = 6.0, 8.0, 0.03
 BIN = 0.005
 BROADCAST_GRAMS = 4_000_000
 #: Distinct words counted before their n-grams are emitted; bounds a task's memory.
-FLUSH_WORDS = 200_000
-CACHE = 200_000
+FLUSH_WORDS = 100_000
+CACHE = 60_000
 BLOCK_BYTES = 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,10 +63,11 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     h = ids[:n].copy()
     for k in range(1, size):
         h = h * MULTIPLIER + ids[k : k + n]
+    ascending = np.sort(h)
+    if not (ascending[1:] == ascending[:-1]).any():
+        return 0
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
-    if not same.any():
-        return 0
     twin = np.zeros(n, bool)
     twin[order[1:][same]] = twin[order[:-1][same]] = True
     at: dict[bytes, list[int]] = defaultdict(list)
@@ -96,6 +97,15 @@ def base_figures(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     return len(words), chars - blank, symbols, dup, repeated_words(words)
 
 
+def _windows(words: list[bytes]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The padded words end to end, where their n-grams begin, and how many each word has."""
+    text = [START * (ORDER - 1) + w.decode("utf-8", "replace") + END for w in words]
+    sizes = np.fromiter(map(len, text), np.int64, len(text))
+    lengths = sizes - (ORDER - 1)
+    first = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    return "".join(text), first, lengths
+
+
 def grams_of(word: str) -> list[str]:
     s = START * (ORDER - 1) + word + END
     return [s[i : i + ORDER] for i in range(len(word) + 1)]
@@ -106,20 +116,25 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit() -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
-            grams: Counter = Counter()
-            for w, n in words.items():
-                for g in grams_of(w.decode("utf-8", "replace")):
-                    grams[g] += n
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], names=["lang", "gram", "n"])
+            if not words:
+                continue
+            text, first, lengths = _windows(list(words))
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            h = gram_hashes(codes, first)
+            _, at, which = np.unique(h, return_index=True, return_inverse=True)
+            n = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([text[i : i + ORDER] for i in first[at].tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
         counts.clear()
 
     for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-            counts[lang].update(raw.split())
-            if sum(map(len, counts.values())) > FLUSH_WORDS:
-                yield from emit()
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            for lang, raw in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
+                counts[lang].update(raw.split())
+                if sum(map(len, counts.values())) > FLUSH_WORDS:
+                    yield from emit()
     yield from emit()
+    release()
 
 
 def ngram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -158,19 +173,18 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower.select("lang", F.col("suffix").alias("gram"), F.log("low").alias("logp"))
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of rows of ``ORDER`` code points."""
-    h = np.zeros(len(codes), np.uint64)
+def gram_hashes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``ORDER`` code points from each place of ``first``."""
+    h = np.zeros(len(first), np.uint64)
     for k in range(ORDER):
-        h = (h + codes[:, k].astype(np.uint64) + np.uint64(1)) * MULTIPLIER
+        h = (h + codes[first + k] + np.uint64(1)) * MULTIPLIER
         h ^= h >> np.uint64(29)
     return h
 
 
 def sorted_arrays(grams: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The model of one language as ascending hashes and their log probabilities."""
-    codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    h = gram_hashes(codes)
+    h = gram_hashes(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32), np.arange(len(grams)) * ORDER)
     order = np.argsort(h)
     return h[order], np.asarray(logp, np.float64)[order]
 
@@ -192,12 +206,8 @@ class Scorer:
         hashes, logp = self.model.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            text = [START * (ORDER - 1) + w.decode("utf-8", "replace") + END for w in part]
-            ends = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))
-            codes = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
-            lengths = np.diff(ends, prepend=0) - (ORDER - 1)
-            first = np.repeat(ends - np.diff(ends, prepend=0) - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            h = gram_hashes(codes[first[:, None] + np.arange(ORDER)])
+            text, first, lengths = _windows(part)
+            h = gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), first)
             i = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
             # A 5-gram that isn't in the model (another corpus) gets the least probability it holds.
             p = np.where(hashes[i] == h, logp[i], logp.min()) if len(hashes) else np.full(len(h), -np.log(1 << 21))
@@ -245,6 +255,8 @@ def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GR
             scorer = Scorer(arrays.value)
             for batch in batches:
                 yield from _score(scorer, batch)
+            scorer.known.clear()
+            release()
 
         return rows.mapInArrow(run, shape)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import text_bytes
+from kinelake.llm._common import release, text_bytes
 from kinelake.llm._hashing import mixed, sliding_min, window_hashes, word_hashes
 
 LENGTH = 50
@@ -172,6 +172,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                     yield from done()
                     ids, keys, texts, size = [], [], [], 0
         yield from done()
+        release()
 
     return keyed.mapInArrow(chunks, "block long, payload binary").groupBy("block").applyInArrow(_parse_block(length), SPANS)
 
