@@ -105,8 +105,6 @@ class WordBpe:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that aren't known yet, all through one pair occurrence index."""
-        if len(self.new) >= CACHE:
-            self.old, self.new = self.new, {}
         todo = []
         for w in words:
             if (known := self.old.get(w)) is not None:
@@ -188,11 +186,10 @@ class WordBpe:
             size += len(t)
             if size >= STRETCH or i == len(texts) - 1:
                 split = [self.split(t) for t in texts[start : i + 1]]
-                unknown = set().union(*split) - self.new.keys()
-                if unknown:
+                if len(self.new) >= CACHE:  # before these texts' words are looked up, never between
+                    self.old, self.new = self.new, {}
+                if unknown := set().union(*split) - self.new.keys():
                     self.learn(unknown)
-                    if self.old:  # a new generation may have begun: what these texts use must be in it
-                        self.learn(set().union(*split) - self.new.keys())
                 get = self.new.__getitem__
                 out += [b"".join(map(get, s)) for s in split]
                 start, size = i + 1, 0
