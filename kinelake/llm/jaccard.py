@@ -393,12 +393,16 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents, the one with the smallest id; documents without words stay."""
-    names = docs.columns
     rows, _, _ = jaccard_classes(docs)
-    linked = rows.where("n > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash")
-    keep = materialize(linked.join(rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).alias("r"), (linked["doc_id"].eqNullSafe(F.col("r.doc_id"))) & (linked["text_hash"] == F.col("r.text_hash"))).select(linked["doc_id"].alias("k"), linked["text_hash"].alias("h"), "copies"), "keep")
-    keyed = docs.withColumn("h", F.xxhash64("text"))
-    out = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["k"]) & (keyed["h"] == keep["h"])).drop(keep["h"])
-    if not keep.where("copies > 1").isEmpty():  # the same row more than once
-        out = out.where("copies = 1").unionByName(out.where("copies > 1").dropDuplicates(["k", "h"]))
-    return out.select(names).unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    linked = rows.where("n > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("k"), F.col("k.text_hash").alias("h"))
+    counts = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    keep = materialize(linked.join(counts, linked["k"].eqNullSafe(counts["doc_id"]) & (linked["h"] == counts["text_hash"])).select("k", "h", "copies"), "keep")
+
+    def matching(side: DataFrame) -> DataFrame:
+        return docs.join(side, docs["doc_id"].eqNullSafe(side["k"]) & (F.xxhash64(docs["text"]) == side["h"]), "left_semi")
+
+    out = matching(keep.where("copies = 1"))
+    again = keep.where("copies > 1")
+    if not again.isEmpty():  # the same row more than once
+        out = out.unionByName(matching(again).dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))

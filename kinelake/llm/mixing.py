@@ -124,7 +124,7 @@ def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(chunks, ["s", "chunk"]).withColumn("offset", F.col("chunk_start") + F.col("inside")).drop("chunk", "inside", "chunk_start", "n_docs")
 
 
-def with_sizes(docs: DataFrame, *keep: str) -> DataFrame:
+def with_sizes(docs: DataFrame, *keep: Column) -> DataFrame:
     """``docs`` with a row key, the size and a hash of the text, written once so the key is fixed."""
     cols = [F.monotonically_increasing_id().alias("uid"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")]
     return materialize(docs.select(*cols, *keep), "mix-sizes")
@@ -160,15 +160,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document comes once for every time all of its blocks are taken, with its text unchanged, and once more
     with the words of the blocks taken beyond that, if any.  Documents no block of which is drawn go.
     """
-    names = docs.columns
-    kept = with_sizes(docs, *[c for c in names if c not in ("doc_id", "source")])
-    _, parts = mix(kept.select("uid", "doc_id", "source", "size", "text_hash"))
+    kept = with_sizes(docs, F.struct(*docs.columns).alias("row"))
+    _, parts = mix(kept.drop("row"))
     whole = parts.groupBy("uid").agg(F.min("takes").alias("whole"), F.sort_array(F.collect_list(F.struct("start", "n", "takes"))).alias("parts"))
-    rows = kept.join(whole, "uid").withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    rows = kept.join(whole, "uid").withColumn("words", F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)))
     extra = F.filter("parts", lambda p: p["takes"] > F.col("whole"))
     some = F.array_join(F.flatten(F.transform(extra, lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.size(extra) > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
-    out = rows.select(*[c for c in names if c != "text"], F.explode(texts).alias("text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(names)
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("whole").cast("int")), F.when(F.size(extra) > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("row", F.explode(texts).alias("new"))
+    put = {"text": F.col("new"), "n_chars": F.length("new")}
+    return rows.select(*[(put[f.name].cast(f.dataType) if f.name in put else F.col("row")[f.name]).alias(f.name) for f in docs.schema])

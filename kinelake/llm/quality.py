@@ -7,7 +7,7 @@ interpolation weights of every order as aggregations and joins, and gives each 5
 log probability.  The model is held as sorted hash arrays: per language, ascending 64-bit hashes beside
 log probabilities, searched by bisection.
 
-Scoring: while the model's rows stay within ``BROADCAST_GRAMS`` (12 bytes each) the arrays are broadcast;
+Scoring leaves each occurrence out of the counts that judge it.  While the model's rows stay within ``BROADCAST_GRAMS`` (12 bytes each) the arrays are broadcast;
 beyond that, documents are dealt into blocks of bounded size, and a join brings each block the part of the
 model that its words use.  Both ways give the same figures.
 
@@ -41,9 +41,11 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Band widths in deviations below and above the median, and the least deviation, in nats per character.
-LOW, HIGH, LEAST = 6.0, 8.0, 0.03
+LOW, HIGH, LEAST = 8.0, 16.0, 0.03
 BIN = 0.005
 BROADCAST_GRAMS = 4_000_000
+#: Languages up to which their discounts are broadcast (about 200 bytes each).
+BROADCAST_LANGUAGES = 10_000
 #: Distinct words counted before their n-grams are emitted; bounds a task's memory.
 FLUSH_WORDS = 100_000
 CACHE = 60_000
@@ -153,24 +155,37 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Rows ``lang, gram, logp`` for every 5-gram of ``counts``: interpolated modified Kneser-Ney."""
+    """Rows ``lang, gram, logp, logp_out`` for every 5-gram of ``counts``: interpolated modified Kneser-Ney.
+
+    ``logp_out`` leaves one occurrence out: what the model would say of an occurrence had it not been counted itself.
+    At every order the count and its context lose one if the order above lost its last, so rare strings of a
+    document don't vouch for themselves.
+    """
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters stand before
         orders[k] = materialize(orders[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams{k}")
-    vocabulary = orders[1].groupBy("lang").agg((1.0 / F.count("*")).alias("low"))
+    of_lang = orders[1].groupBy("lang").agg((1.0 / F.count("*")).alias("uniform"))
+    for k in orders:
+        of_lang = of_lang.join(_discounts(orders[k]).select("lang", F.array("d1", "d2", "d3").alias(f"d{k}")), "lang")
+    of_lang = materialize(of_lang, "discounts")
+    of_lang = F.broadcast(of_lang) if of_lang.count() <= BROADCAST_LANGUAGES else of_lang
     lower = None
     for k in range(1, ORDER + 1):
-        g = orders[k].join(_discounts(orders[k]), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        g = g.select("lang", "gram", "n", "d", F.substring("gram", 1, k - 1).alias("context"))
+        discount = lambda c, k=k: F.when(c > 0, F.get(F.col(f"d{k}"), F.least(c, F.lit(3)).cast("int") - 1)).otherwise(0.0)
+        g = orders[k].join(of_lang, "lang").withColumn("d", discount(F.col("n"))).withColumn("context", F.substring("gram", 1, k - 1))
         context = g.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
         g = g.join(context, ["lang", "context"])
         if lower is None:
-            g = g.join(vocabulary, "lang")
+            g = g.withColumn("low", F.col("uniform")).withColumn("low_out", F.col("uniform"))
         else:
             g = g.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"])
         p = (F.col("n") - F.col("d") + F.col("held") * F.col("low")) / F.col("total")
-        lower = g.select("lang", F.col("gram").alias("suffix"), p.alias("low"))
-    return lower.select("lang", F.col("suffix").alias("gram"), F.log("low").alias("logp"))
+        less = F.col("n") - 1
+        low = F.when(less > 0, F.col("low")).otherwise(F.col("low_out"))
+        out = F.when(F.col("total") == 1, low).otherwise((less - discount(less) + (F.col("held") - F.col("d") + discount(less)) * low) / F.nullif(F.col("total") - 1, F.lit(0)))
+        lower = g.select("lang", F.col("gram").alias("suffix"), p.alias("low"), out.alias("low_out"))
+    # The least positive number stands in where nothing is left to back off to.
+    return lower.select("lang", F.col("suffix").alias("gram"), F.log("low").alias("logp"), F.log(F.greatest("low_out", F.lit(1e-12))).alias("logp_out"))
 
 
 def gram_hashes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -241,9 +256,13 @@ def _score(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(cols)]], names=["doc_id", "lang", *[x.split()[0] for x in SCORED.split(", ")]])
 
 
-def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, lang``, the base figures and ``nll`` for every row of ``docs``."""
+def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, out: bool = True, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Rows ``doc_id, lang``, the base figures and ``nll`` for every row of ``docs``.
+
+    ``out`` leaves one occurrence out, as is right for documents that the model has counted.
+    """
     spark = docs.sparkSession
+    model = model.select("lang", "gram", F.col("logp_out" if out else "logp").alias("logp"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {SCORED}"
     if model.count() <= broadcast_grams:
@@ -324,8 +343,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are matched by id and text hash, so of rows that share an id each gets its own verdict.
     """
-    names = docs.columns
-    keyed = docs.withColumn("row_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    verdicts = quality_verdicts(keyed.select(F.col("row_key").alias("doc_id"), "lang", "text"))
-    kept = verdicts.where("kept").select(F.col("doc_id.doc_id").alias("k"), F.col("doc_id.h").alias("h")).distinct()
-    return docs.withColumn("h", F.xxhash64("text")).alias("d").join(kept.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.k")) & (F.col("d.h") == F.col("v.h")), "left_semi").select(names)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "lang", "text")
+    kept = quality_verdicts(keyed).where("kept").select(F.col("doc_id.doc_id").alias("k"), F.col("doc_id.h").alias("h")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k"]) & (F.xxhash64(docs["text"]) == kept["h"]), "left_semi")

@@ -200,4 +200,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 texts.append(redact(t, spans) if spans else t)
             yield batch.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out
