@@ -73,6 +73,35 @@ def bootstrap_counts(by_traj: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.groupBy("sample", "i", "j").agg(F.sum(F.col("n") * F.col("w")).alias("n"))
 
 
+def effective_counts(dtrajs: DataFrame, lag: int, max_visits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``i, j, n``: sliding counts times the share of them that is independent.
+
+    For every state the visits of a trajectory are a series, and whether a visit is followed by ``j`` a lag later is its
+    indicator.  Its autocorrelation over up to ``max_visits`` visits (default: the lag, as far as windows overlap), summed to
+    the first value that isn't positive, gives the statistical inefficiency that scales ``(i, j)``.
+    """
+    reach = max_visits or lag
+    pairs = lagged(dtrajs.select("traj_id", "t", "state"), lag, ["state"], block).where(f"state >= 0 AND state_{lag} >= 0")
+    pairs = pairs.select("traj_id", "t", F.col("state").alias("i"), F.col(f"state_{lag}").alias("j"), F.floor(F.col("t") / block).alias("b"))
+    per = pairs.groupBy("traj_id", "i", "b").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("traj_id", "i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("traj_id", "i", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("traj_id", "i", "b").orderBy("t")
+    visits = pairs.withColumn("r", F.row_number().over(inside) - 1).join(per, ["traj_id", "i", "b"]).select("traj_id", "i", "j", (F.col("r") + F.col("before")).cast("bigint").alias("t"))
+    wide = lagged(visits, list(range(1, reach + 1)), ["j"], block, keys=("traj_id", "i"))
+    steps = F.array(F.struct(F.lit(0).alias("k"), F.lit(True).alias("same")), *[F.struct(F.lit(k).alias("k"), (F.col(f"j_{k}") == F.col("j")).alias("same")) for k in range(1, reach + 1)])
+    cells = wide.select("i", "j", F.explode(steps).alias("s")).where("s.same IS NOT NULL").groupBy("i", "j", "s.k").agg(F.count("*").alias("n"), F.count_if(F.col("s.same")).alias("same"))
+    of_state = Window.partitionBy("i", "k")
+    cells = cells.withColumn("all", F.sum("n").over(of_state))
+    first = cells.where("k = 0").select("i", "j", F.col("n").alias("c"), (F.col("n") / F.col("all")).alias("p"), F.col("all").alias("visits"))
+    acf = F.when(F.col("p") < 1, (F.col("same") / F.col("all") - F.col("p") * F.col("p")) / (F.col("p") - F.col("p") * F.col("p"))).otherwise(0.0)
+    rows = cells.where("k > 0").join(first, ["i", "j"]).select("i", "j", "k", acf.alias("a"), "visits")
+    stop = Window.partitionBy("i", "j").orderBy("k")
+    rows = rows.withColumn("low", F.min("a").over(stop)).where("low > 0")
+    sums = rows.groupBy("i", "j").agg(F.sum(F.col("a") * (1 - F.col("k") / F.col("visits"))).alias("sum"))
+    return first.join(sums, ["i", "j"], "left").select("i", "j", (F.col("c") / (1 + 2 * F.greatest(F.coalesce("sum", F.lit(0.0)), F.lit(0.0)))).alias("n"))
+
+
 def count_submatrix(counts: DataFrame, states: Sequence[int]) -> DataFrame:
     """Counts restricted to ``states`` and renumbered in their order."""
     spark = counts.sparkSession

@@ -90,13 +90,21 @@ def batch_moments(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) ->
     return Moments(total, sx, sy, wx.T @ cx, wx.T @ cy, wy.T @ cy)
 
 
+_PARTS = ("sx", "sy", "xx", "xy", "yy")
+
+
 def _row(m: Moments) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"w": m.w, **{k: getattr(m, k).ravel().tolist() for k in ("sx", "sy", "xx", "xy", "yy")}}], schema=pa.schema([("w", pa.float64()), *[(k, pa.list_(pa.float64())) for k in ("sx", "sy", "xx", "xy", "yy")]]))
+    lists = [pa.ListArray.from_arrays(np.array([0, a.size], np.int32), pa.array(np.ascontiguousarray(a, float).ravel())) for a in (getattr(m, k) for k in _PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array([m.w]), *lists], names=["w", *_PARTS])
 
 
-def _from_row(r: dict) -> Moments:
-    d, e = len(r["sx"]), len(r["sy"])
-    return Moments(r["w"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["xx"]).reshape(d, d), np.array(r["xy"]).reshape(d, e), np.array(r["yy"]).reshape(e, e))
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[Moments]:
+    """The moments of each row, read from Arrow's buffers."""
+    for one in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+        for i in range(one.num_rows):
+            sx, sy, xx, xy, yy = (one.column(k)[i].values.to_numpy() for k in _PARTS)
+            d, e = len(sx), len(sy)
+            yield Moments(one.column("w")[i].as_py(), sx, sy, xx.reshape(d, d), xy.reshape(d, e), yy.reshape(e, e))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +121,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
-        for r in batch.to_pylist():
-            total = _from_row(r) if total is None else total.combine(_from_row(r))
+        for m in _rows(batch):
+            total = m if total is None else total.combine(m)
     if total is not None:
         yield _row(total)
 
@@ -126,17 +134,18 @@ def pair_moments(pairs: DataFrame, x: str = "x", y: str = "y", weight: str | Non
     while n > 1:
         n = -(-n // FAN)
         rows = rows.repartition(n).mapInArrow(_merge, ROW)
-    got = rows.toArrow().to_pylist()
-    if not got:
+    out = None
+    for m in _rows(rows.toArrow()):
+        out = m if out is None else out.combine(m)
+    if out is None:
         raise ValueError("there are no rows to take moments of")
-    out = _from_row(got[0])
-    for r in got[1:]:
-        out = out.combine(_from_row(r))
     return out
 
 
 def moments_xx(frames: DataFrame, weight: str | None = None) -> Moments:
-    return pair_moments(frames.withColumn("y", F.col("x")), weight=weight)
+    """Moments of ``x`` alone: the other side is empty while the frames are folded."""
+    m = pair_moments(frames.withColumn("y", F.array().cast("array<double>")), weight=weight)
+    return Moments(m.w, m.sx, m.sx, m.xx, m.xx, m.xx)
 
 
 def moments_lagged(frames: DataFrame, lag: int, symmetrize: bool = False, stride: int = 1, skip: int = 0, weight: str | None = None, block: int = BLOCK) -> Moments:

@@ -408,9 +408,8 @@ class MSMEstimator:
 
     def count(self, dtrajs: DataFrame) -> np.ndarray:
         dtrajs = self.prepare(dtrajs)
-        mode = "sliding" if self.count_mode == "effective" else self.count_mode
-        c = D.counts_matrix(D.transition_counts(dtrajs, self.lag, mode), D.number_of_states(dtrajs))
-        return c / self.lag if self.count_mode == "effective" else c
+        counts = D.effective_counts(dtrajs, self.lag) if self.count_mode == "effective" else D.transition_counts(dtrajs, self.lag, self.count_mode)
+        return D.counts_matrix(counts, D.number_of_states(dtrajs))
 
     def fit(self, dtrajs: DataFrame) -> MSMEstimator:
         return self.fit_counts(self.count(dtrajs))
@@ -525,13 +524,14 @@ def _coarse(p: np.ndarray, pi: np.ndarray, m: np.ndarray) -> np.ndarray:
 def counts_by_lag(dtrajs: DataFrame, lags: Sequence[int], mode: str = "sliding") -> dict[int, np.ndarray]:
     """Count matrices at several lags; sliding counts come from a single pass."""
     n = D.number_of_states(dtrajs)
-    if mode == "sample":
-        return {lag: D.counts_matrix(D.transition_counts(dtrajs, lag, "sample"), n) for lag in lags}
+    if mode != "sliding":
+        make = D.effective_counts if mode == "effective" else lambda d, lag: D.transition_counts(d, lag, mode)
+        return {lag: D.counts_matrix(make(dtrajs, lag), n) for lag in lags}
     rows = D.transition_counts_lags(dtrajs, sorted(set(lags))).collect()  # a row for each lag and pair of states
     out = {lag: np.zeros((n, n)) for lag in lags}
     for r in rows:
         out[r.lag][r.i, r.j] = r.n
-    return {lag: c / lag for lag, c in out.items()} if mode == "effective" else out
+    return out
 
 
 def markov_model(p: np.ndarray, dt: str = "1 step") -> MSM:

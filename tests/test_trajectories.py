@@ -202,3 +202,26 @@ def test_support():
     assert len(combinations(range(4), 2)) == 6 and len(product([1, 2], [3])) == 2
     lo, hi = confidence_interval(np.random.default_rng(0).normal(size=(4000, 2)), 0.95)
     assert np.allclose(lo, -1.96, atol=0.2) and np.allclose(hi, 1.96, atol=0.2)
+
+
+def test_effective_counts(spark):
+    from kinelake.operators.msm import MSM
+
+    d = MSM(np.array([[0.95, 0.05], [0.1, 0.9]])).simulate(3000, seed=2)
+    lag = 4
+    df = Fr.from_dtrajs(spark, [d[:1800], d[1800:]])
+    got = {(r.i, r.j): r.n for r in D.effective_counts(df, lag, block=64).collect()}
+    for i in range(2):
+        series = [x[lag:][x[:-lag] == i] for x in (d[:1800], d[1800:])]
+        visits = sum(map(len, series))
+        for j in range(2):
+            x = [(s == j).astype(float) for s in series]
+            p = sum(v.sum() for v in x) / visits
+            total = 0.0
+            for k in range(1, lag + 1):
+                a = (sum((v[:-k] * v[k:]).sum() for v in x) / sum(len(v) - k for v in x) - p * p) / (p - p * p)
+                if a <= 0:
+                    break
+                total += a * (1 - k / visits)
+            assert got[i, j] == pytest.approx(p * visits / (1 + 2 * total))
+            assert got[i, j] < p * visits
