@@ -96,6 +96,30 @@ def grid_means(values: DataFrame, bins: int = 100) -> DataFrame:
     return values.join(F.broadcast(e)).groupBy(bx.alias("bx"), by.alias("by")).agg(F.avg("z").alias("z"))
 
 
+def grid_nearest(values: DataFrame, bins: int = 100) -> np.ndarray:
+    """``z`` on a ``bins`` x ``bins`` grid over the extremes of ``x`` and ``y`` by the nearest data point.
+
+    Each point competes for the four nodes around it, in one aggregation of at most ``bins`` squared rows; a node with no
+    point in its neighbouring cells takes the nearest of the points that won elsewhere.
+    """
+    lo_x, hi_x, lo_y, hi_y = values.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    sx, sy = ((hi - lo) / (bins - 1) or 1.0 for lo, hi in ((lo_x, hi_x), (lo_y, hi_y)))
+    u, v = (F.col("x") - lo_x) / sx, (F.col("y") - lo_y) / sy
+    nodes = F.array(*[F.struct(f(u).cast("int").alias("i"), g(v).cast("int").alias("j")) for f in (F.floor, F.ceil) for g in (F.floor, F.ceil)])
+    rows = values.select("x", "y", "z", F.explode(F.array_distinct(nodes)).alias("n"))
+    d = (F.col("x") - (F.col("n.i") * sx + lo_x)) ** 2 + (F.col("y") - (F.col("n.j") * sy + lo_y)) ** 2
+    best = rows.groupBy("n.i", "n.j").agg(F.min(F.struct(d.alias("d"), "x", "y", "z")).alias("b")).select("i", "j", "b.x", "b.y", "b.z").collect()
+    out = np.full((bins, bins), np.nan)
+    for r in best:
+        out[r.i, r.j] = r.z
+    pts = np.array([(r.x, r.y) for r in best])
+    z = np.array([r.z for r in best])
+    for i, j in np.argwhere(np.isnan(out)):
+        at = np.array([lo_x + i * sx, lo_y + j * sy])
+        out[i, j] = z[((pts - at) ** 2).sum(1).argmin()]
+    return out
+
+
 def logsumexp(values: DataFrame, by: Sequence[str], column: str = "v") -> DataFrame:
     """``by..., lse`` by groups, shifted by each group's largest value."""
     top = values.groupBy(*by).agg(F.max(column).alias("top"))

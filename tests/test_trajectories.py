@@ -225,3 +225,30 @@ def test_effective_counts(spark):
                 total += a * (1 - k / visits)
             assert got[i, j] == pytest.approx(p * visits / (1 + 2 * total))
             assert got[i, j] < p * visits
+
+
+def test_grid_nearest(spark):
+    rng = np.random.default_rng(0)
+    pts = rng.random((400, 2))
+    df = spark.createDataFrame([(float(x), float(y), float(k)) for k, (x, y) in enumerate(pts)], "x double, y double, z double")
+    got = S.grid_nearest(df, 6)
+    gx, gy = (np.linspace(pts[:, k].min(), pts[:, k].max(), 6) for k in (0, 1))
+    want = [[float(((pts - [a, b]) ** 2).sum(1).argmin()) for b in gy] for a in gx]
+    assert np.array_equal(got, want)
+
+
+def test_api(spark):
+    from kinelake import api
+
+    assert all(callable(getattr(api, n)) for n in api.__all__)
+    x = np.random.default_rng(0).normal(size=(200, 2)).cumsum(0)
+    frames = api.source(spark, x)
+    assert np.allclose(api.load(spark, x)[0], x)
+    d = api.cluster_kmeans(frames, 4, 3).transform(frames)
+    e = api.estimate_markov_model(d, 1)
+    assert np.allclose(e.model.p.sum(1), 1)
+    assert api.timescales_msm(d, [1, 2]).kept
+    c = api.covariance_lagged(frames, 1, remove_mean=True)
+    assert c.c00.shape == (2, 2)
+    assert api.pipeline(frames, [api.pca(frames, 1), api.cluster_uniform_time(frames, 2)]).transform(frames).count() == 200
+    assert api.histogram(frames, [0, 1], [4, 4]).agg({"n": "sum"}).first()[0] == 200
