@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: The contract's word: a run of bytes other than space and \t..\r.  ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_KEY, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+BATCH_BYTES = 4 << 20
+
 _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -31,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the bytes of an Arrow batch where the session still has the default.
+
+    The default of 64 MB is held several times over by each task: in the JVM's buffers, on the way, and in the worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, DEFAULT_BATCH).rstrip("b") == DEFAULT_BATCH:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/kinelake-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))

@@ -9,7 +9,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _tables: dict[tuple[int, bool], np.ndarray] = {}
 
 

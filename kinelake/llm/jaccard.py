@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
 from kinelake.llm._hashing import mixed, powers, window_hashes, word_hashes
 from kinelake.llm.components import components
 
@@ -42,8 +42,8 @@ PERCENT = 75
 LISTED = 400_000
 FREQUENT = 12
 #: Bytes of text handled at once by a task, and filed shingles of one range on average.
-CHUNK = 6 << 20
-RANGE = 2_000_000
+CHUNK = 4 << 20
+RANGE = 1_000_000
 #: Runs up to this size give all pairs; larger ones give stars around ``LEADERS`` groups.
 SMALL_RUN = 4
 LEADERS = 3
@@ -346,7 +346,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     components.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")

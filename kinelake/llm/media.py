@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import materialize, text_bytes
+from kinelake.llm._common import bounded_batches, materialize, text_bytes
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -160,7 +160,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_sequence(h) for h in part.column(1).to_pylist()], kind)], names=["id", "items"])
 
-    return pages.select(id_col, html_col).mapInArrow(run, f"id {pages.schema[id_col].dataType.simpleString()}, items {ITEM}")
+    return bounded_batches(pages).select(id_col, html_col).mapInArrow(run, f"id {pages.schema[id_col].dataType.simpleString()}, items {ITEM}")
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, digest string, media binary"
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, shape), "media")
+    return materialize(bounded_batches(docs).select(id_col, text_col).mapInArrow(run, shape), "media")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     shape = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("digest", "n_bytes", "media").mapInArrow(run, shape).dropDuplicates(["digest"])
+    return bounded_batches(media).select("digest", "n_bytes", "media").mapInArrow(run, shape).dropDuplicates(["digest"])
 
 
 def resolve(seqs: DataFrame, figures: DataFrame, scheme: str = "media:") -> DataFrame:

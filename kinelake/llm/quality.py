@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinelake.llm._common import materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -141,7 +141,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ngram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Rows ``lang, gram, n``: how often each 5-gram occurs in all words of all documents."""
-    rows = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), text_col).mapInArrow(_count_grams, "lang string, gram string, n long")
+    rows = bounded_batches(docs).select(F.coalesce(lang_col, F.lit("")).alias("lang"), text_col).mapInArrow(_count_grams, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

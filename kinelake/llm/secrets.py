@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import text_bytes
+from kinelake.llm._common import bounded_batches, text_bytes
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -158,7 +158,7 @@ def secret_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     shape = f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long, log10_guesses: double>>"
-    return docs.select(id_col, text_col).mapInArrow(run, shape)
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, shape)
 
 
 def _value(text: str, start: int, end: int, kind: str) -> str:
@@ -200,7 +200,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 texts.append(redact(t, spans) if spans else t)
             yield batch.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = bounded_batches(docs).mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

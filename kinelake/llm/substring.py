@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import release, text_bytes
+from kinelake.llm._common import bounded_batches, release, text_bytes
 from kinelake.llm._hashing import mixed, sliding_min, window_hashes, word_hashes
 
 LENGTH = 50
@@ -144,7 +144,7 @@ def _parse_block(length: int):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``id`` (null as the largest), ``key`` (hash of the text) and the text."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    return bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

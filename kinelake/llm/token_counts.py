@@ -22,7 +22,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.llm._common import text_bytes
+from kinelake.llm._common import bounded_batches, text_bytes
 
 SPACE = "▁"
 LIMIT = 4096
@@ -139,7 +139,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
