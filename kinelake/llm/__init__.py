@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinelake.llm import oracles
 from kinelake.llm.bpe import op5_bpe
 from kinelake.llm.jaccard import op7_jaccard
 from kinelake.llm.media import op8_media
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": OP6_SQL}
+    return {"op6_urls": OP6_SQL, "op7_jaccard": oracles.OP7, "op9_substrings": oracles.OP9, "op10_warc": oracles.OP10}

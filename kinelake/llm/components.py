@@ -44,11 +44,12 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first: a node with very many neighbours can then be split in the joins, whose sides are plain exchanges.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         down = materialize(down, "large")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u")
         edges = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("u", "m")).distinct(), "small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -9,7 +9,9 @@ their sets' Jaccard similarity is at least ``percent``.
 2. Sets that link share a shingle of their prefixes, the first ``n - ceil(percent n) + 1`` in that order.
    Documents with equal sets form one class; classes with identical prefix and size are collapsed into one
    group, and only groups file their prefixes.
-3. Ranges of shingles are joined in tasks of bounded size: groups that file the same shingle form a run.  Small
+3. Ranges of shingles are joined in tasks of bounded size: groups that file the same shingle form a run (shingles
+   of more than ``HOT_RUN`` documents, known from the counts, take a way of their own: rows instead of packed ranges, and
+   stars around leaders found by aggregation).  Small
    runs give all their pairs; large runs give stars around a few of their groups.  Pairs are filtered by size and
    by the parity bitmaps of their sets (two sets differ in at least as many shingles as their bitmaps in bits),
    then expanded to their classes and verified on the whole texts.
@@ -47,6 +49,8 @@ RANGE = 1_000_000
 #: Runs up to this size give all pairs; larger ones give stars around ``LEADERS`` groups.
 SMALL_RUN = 4
 LEADERS = 3
+#: Documents from which a shingle's run is too large for one task.
+HOT_RUN = 1_000_000
 #: Nodes up to which the table of texts to fetch is broadcast (about 30 bytes each).
 BROADCAST_NODES = 1_000_000
 BITS = 1024
@@ -77,6 +81,13 @@ class Order:
         self.slots, self.counts, self.shift = slots, counts, np.uint64(shift)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(slots & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.any_hot = bool((counts > HOT_RUN).any())
+        self.hot_run = HOT_RUN
+
+    def hot(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles form runs that no single task may hold."""
+        f = self.frequency(shingles) if self.any_hot else None
+        return np.zeros(len(shingles), bool) if f is None else f > self.hot_run
 
     def frequency(self, shingles: np.ndarray) -> np.ndarray | None:
         """Counts of the listed shingles, 0 for the others; None if none is listed."""
@@ -233,7 +244,8 @@ def filed_prefixes(texts: DataFrame, order, percent: int, ranges: int) -> DataFr
             sizes = np.array([n for n, _ in groups.values()], np.int32)
             tokens = np.concatenate([p for _, p in groups.values()])
             owner = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for _, p in groups.values()])
-            at = np.argsort(tokens)
+            at = np.flatnonzero(~o.hot(tokens))
+            at = at[np.argsort(tokens[at])]
             tokens, owner = tokens[at], owner[at]
             where = (mixed(tokens) % np.uint64(ranges)).astype(np.int64)
             at = np.argsort(where, kind="stable")
@@ -249,6 +261,36 @@ def filed_prefixes(texts: DataFrame, order, percent: int, ranges: int) -> DataFr
     return texts.mapInArrow(run, "range int, payload binary")
 
 
+def hot_runs(texts: DataFrame, order, percent: int) -> DataFrame:
+    """Rows ``run, a, b, n`` for shingles of very many documents: ``a`` files the shingle ``run``; with ``b``, a pair to check.
+
+    The leaders of a run are its groups with the least hashes, found by partial aggregation; there are at most as many runs as
+    listed shingles, so the leaders are broadcast, and no task holds a run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        o = order.value
+        for _, raw in _chunked(batches, 0):
+            rows = set()
+            for s in shingle_sets(raw):
+                if len(s):
+                    p = o.prefix(s, percent)
+                    if (h := o.hot(p)).any():
+                        g = group_key(p, len(s))
+                        rows |= {(t, g, len(s)) for t in _signed(p[h]).tolist()}
+            if rows:
+                t, g, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["run", "a", "n"])
+
+    members = materialize(texts.mapInArrow(run, "run long, a long, n long").distinct(), "hot")
+    out = members.select("run", "a", F.lit(None).cast("long").alias("b"))
+    for seed in range(LEADERS):
+        lead = members.groupBy("run").agg(F.min_by(F.struct("a", "n"), F.xxhash64(F.lit(seed), "a")).alias("l"))
+        pairs = members.join(F.broadcast(lead), "run").where((F.col("a") != F.col("l.a")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+        out = out.unionByName(pairs.select(F.lit(None).cast("long").alias("run"), F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")))
+    return out
+
+
 def _join_range(percent: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(p, "<i8", "<i4", "<i4", "u1") for p in table["payload"].to_pylist()]
@@ -350,12 +392,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
-    order = spark.sparkContext.broadcast(Order(*frequent_shingles(texts, n_bytes, max(parts, n_bytes // 6 // (2 * RANGE) + 1), listed)))
+    ordering = Order(*frequent_shingles(texts, n_bytes, max(parts, n_bytes // 6 // (2 * RANGE) + 1), listed))
+    order = spark.sparkContext.broadcast(ordering)
     rows = materialize(profiles(docs, order, percent), "profiles")
     full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"))
     classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "rep.doc_id", "rep.text_hash"), "classes")
     ranges = max(parts, n_bytes // 24 // RANGE + 1)
     found = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long"), "candidates")
+    if ordering.any_hot:
+        found = found.unionByName(hot_runs(texts, order, percent))
     groups = classes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
     leads = groups.select("g", "lead")
     pairs = found.where("run IS NULL").select("a", "b").distinct()

@@ -223,4 +223,4 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<figure><img src="media:'), F.col("digest"), F.lit('" alt=""><figcaption>'), name, F.lit("</figcaption></figure>"))
     figures = materialize(read_media(media), "media-figures")
     rows = resolve(sequences(media.select("id", html.alias("html")), "id"), figures).where("kind = 'media'")
-    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")

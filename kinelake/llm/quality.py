@@ -43,7 +43,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Band widths in deviations below and above the median, and the least deviation, in nats per character.
 LOW, HIGH, LEAST = 8.0, 16.0, 0.03
 BIN = 0.005
-BROADCAST_GRAMS = 4_000_000
+BROADCAST_GRAMS = 1_000_000
 #: Languages up to which their discounts are broadcast (about 200 bytes each).
 BROADCAST_LANGUAGES = 10_000
 #: Distinct words counted before their n-grams are emitted; bounds a task's memory.

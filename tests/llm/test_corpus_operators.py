@@ -313,6 +313,8 @@ def test_jaccard(spark, rows, monkeypatch, tmp_path):
     for name, value in (("SMALL_RUN", 1), ("LEADERS", 1), ("FREQUENT", 2), ("CHUNK", 2000), ("RANGE", 50)):
         monkeypatch.setattr(J, name, value)
     assert sorted((tuple(r) for r in J.op7_jaccard(spark, str(tmp_path)).collect()), key=str) == want
+    monkeypatch.setattr(J, "HOT_RUN", 3)  # and shingles of more than three documents take the way of the hot ones
+    assert sorted((tuple(r) for r in J.op7_jaccard(spark, str(tmp_path)).collect()), key=str) == want
     kept = J.jaccard_stage(spark, docs, "")
     assert kept.columns == docs.columns
     out = kept.collect()
@@ -403,7 +405,7 @@ def test_media_rows(spark, rows, tmp_path):
         p = media.padded(t)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(t), len(p), zlib.crc32(p[-64:]))
         assert r.media_sha256 == hashlib.sha256(media.to_png(p)).hexdigest() and r.media_bytes == len(media.to_png(p)) and r.feature == media.feature(p)
-        assert r.caption == ("" if r.doc_id is None else str(r.doc_id))
+        assert r.pos == 0
     assert media.op8_media(spark, _empty(spark, corpus(spark, []), tmp_path)).count() == 0
 
 
