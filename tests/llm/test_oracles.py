@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from kinelake import llm
@@ -23,7 +24,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == cols
 
     def rows(df):
-        return sorted(tuple(None if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+        return sorted(tuple(None if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
 
     assert rows(got) == rows(want)
 
