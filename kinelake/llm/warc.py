@@ -43,23 +43,20 @@ BROADCAST_GROUPS = 200_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 
 
-def base32_sha1(binary: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: five hex digits make four letters."""
-    digest = F.sha1(binary)
-    letters = F.split(F.lit(ALPHABET), "")
-
-    def four(i: Column) -> Column:
-        n = F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.get(letters, F.shiftright(n, s).bitwiseAND(F.lit(31))) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+def base32_of_hex(digest: Column) -> Column:
+    """Upper-case base32 of a digest in hex: five hex digits make four letters."""
+    letters = []
+    for k in range(8):
+        n = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
+        letters += [F.substring(F.lit(ALPHABET), F.shiftright(n, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+    return F.concat(*letters)
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Rows ``record``: header and payload of one record for each row of ``pages``, without the closing CRLF CRLF."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    keyed = base.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8"))).withColumn("n", F.octet_length("payload").cast("long"))
+    keyed = base.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("n", F.octet_length("payload").cast("long"))
     groups = keyed.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1 AND first IS NOT NULL").drop("rows")
     groups = materialize(groups, "warc-groups")
     side = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
@@ -75,7 +72,7 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "%0A")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))), line("X-Payload-Length", F.col("n").cast("string")))).otherwise(F.lit("")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
         F.lit(CRLF),
