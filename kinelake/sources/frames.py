@@ -24,15 +24,18 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 def events_trajectories(events: DataFrame) -> DataFrame:
     """Each user's events in time order: ``traj_id, t, state, value``; the state is the place of the type in the alphabet."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # Renamed first: the window's partitioning is then by traj_id, which later windows by (traj_id, block) can use.
+    rows = events.select(F.col("user_id").alias("traj_id"), "ts", "event_id", "event_type", "value")
+    w = Window.partitionBy("traj_id").orderBy("ts", "event_id")
     state = (F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1).cast("int")
-    return events.select(F.col("user_id").alias("traj_id"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), state.alias("state"), "value")
+    return rows.select("traj_id", (F.row_number().over(w) - 1).cast("bigint").alias("t"), state.alias("state"), "value")
 
 
 def embedding_trajectories(embeddings: DataFrame) -> DataFrame:
     """Embeddings as 64-dimensional frames: a trajectory for each label, ordered by ``vec_id``."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return embeddings.select(F.col("label").alias("traj_id"), (F.row_number().over(w) - 1).cast("bigint").alias("t"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = embeddings.select(F.col("label").alias("traj_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    w = Window.partitionBy("traj_id").orderBy("vec_id")
+    return rows.select("traj_id", (F.row_number().over(w) - 1).cast("bigint").alias("t"), "x")
 
 
 def from_arrays(spark: SparkSession, trajs: np.ndarray | Sequence[np.ndarray]) -> DataFrame:
