@@ -51,7 +51,7 @@ SMALL_RUN = 4
 LEADERS = 3
 #: Documents from which a shingle's run is too large for one task.
 HOT_RUN = 1_000_000
-#: Nodes up to which the table of texts to fetch is broadcast (about 30 bytes each).
+#: Nodes and runs up to which a table of them is broadcast (about 30 bytes each).
 BROADCAST_NODES = 1_000_000
 BITS = 1024
 ONE = np.uint64(1)
@@ -415,8 +415,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     named = classes.select("node", "g", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("g")).distinct().unionByName(groups.where("size > 1").select(F.col("g").alias("run"), "g"))
     member = runs.join(named, "g").select("run", "node", "comp")
-    mixed_runs = member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run")
-    member = materialize(member.join(mixed_runs, "run").join(c, "node"), "members")
+    mixed_runs = materialize(member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run"), "mixed")
+    few = F.broadcast(mixed_runs) if mixed_runs.count() <= BROADCAST_NODES else mixed_runs
+    member = materialize(member.join(few, "run").join(c, "node"), "members")
     if not member.isEmpty():
         across = member.alias("l").join(member.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
         more = _verify(materialize(across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "across"), docs, classes, percent)
