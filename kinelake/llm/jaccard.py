@@ -393,13 +393,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
     ordering = Order(*frequent_shingles(texts, n_bytes, max(parts, n_bytes // 6 // (2 * RANGE) + 1), listed))
-    order = spark.sparkContext.broadcast(ordering)
+    order, any_hot = spark.sparkContext.broadcast(ordering), ordering.any_hot
+    del ordering
+    release()
     rows = materialize(profiles(docs, order, percent), "profiles")
     full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"))
     classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "rep.doc_id", "rep.text_hash"), "classes")
     ranges = max(parts, n_bytes // 24 // RANGE + 1)
     found = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long"), "candidates")
-    if ordering.any_hot:
+    if any_hot:
         found = found.unionByName(hot_runs(texts, order, percent))
     groups = classes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
     leads = groups.select("g", "lead")

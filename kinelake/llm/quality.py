@@ -269,6 +269,8 @@ def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GR
         table = model.toArrow()
         by_lang = {lang: table.filter(pa.compute.equal(table["lang"], lang)) for lang in set(table["lang"].to_pylist())}
         arrays = spark.sparkContext.broadcast({lang: sorted_arrays(t["gram"].to_pylist(), t["logp"].to_numpy()) for lang, t in by_lang.items()})
+        del table, by_lang
+        release()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(arrays.value)
