@@ -14,10 +14,11 @@ their sets' Jaccard similarity is at least ``percent``.
    stars around leaders found by aggregation).  Small
    runs give all their pairs; large runs give stars around a few of their groups.  Pairs are filtered by size and
    by the parity bitmaps of their sets (two sets differ in at least as many shingles as their bitmaps in bits),
-   then expanded to their classes and verified on the whole texts.
-4. The links found contract most large runs to one component each.  For runs that still hold several, all pairs
-   across components (size and bitmap filters inside the join) are verified.  A link inside a component needs no
-   check, a link across is checked: components are exact, and no group's pairs are all emitted.
+   then verified on the whole texts, one class standing for each group and linked to the group's others.
+4. The links found contract most large runs to one component each.  For runs that still hold several, and for pairs
+   of small runs whose groups hold several classes, all pairs across components (size and bitmap filters inside the
+   join) are verified.  A link inside a component needs no check, a link across is checked: components are exact, and
+   no group's pairs are all emitted.
 
 Defined results: null or blank text has the empty set, links with nothing and is its own component; fewer words
 than a shingle make one shingle of the whole; rows that share an id but not the text are different documents; a null
@@ -53,6 +54,8 @@ LEADERS = 3
 HOT_RUN = 1_000_000
 #: Nodes and runs up to which a table of them is broadcast (about 30 bytes each).
 BROADCAST_NODES = 1_000_000
+#: Classes of a group that one row of a pair's other group meets in a task.
+SALT = 64
 BITS = 1024
 ONE = np.uint64(1)
 
@@ -262,7 +265,7 @@ def filed_prefixes(texts: DataFrame, order, percent: int, ranges: int) -> DataFr
 
 
 def hot_runs(texts: DataFrame, order, percent: int) -> DataFrame:
-    """Rows ``run, a, b, n`` for shingles of very many documents: ``a`` files the shingle ``run``; with ``b``, a pair to check.
+    """Rows ``run, a, b, small`` for shingles of very many documents: ``a`` files the shingle ``run``; with ``b``, a pair to check.
 
     The leaders of a run are its groups with the least hashes, found by partial aggregation; there are at most as many runs as
     listed shingles, so the leaders are broadcast, and no task holds a run.
@@ -283,11 +286,12 @@ def hot_runs(texts: DataFrame, order, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["run", "a", "n"])
 
     members = materialize(texts.mapInArrow(run, "run long, a long, n long").distinct(), "hot")
-    out = members.select("run", "a", F.lit(None).cast("long").alias("b"))
+    no = F.lit(False).alias("small")
+    out = members.select("run", "a", F.lit(None).cast("long").alias("b"), no)
     for seed in range(LEADERS):
         lead = members.groupBy("run").agg(F.min_by(F.struct("a", "n"), F.xxhash64(F.lit(seed), "a")).alias("l"))
         pairs = members.join(F.broadcast(lead), "run").where((F.col("a") != F.col("l.a")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-        out = out.unionByName(pairs.select(F.lit(None).cast("long").alias("run"), F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")))
+        out = out.unionByName(pairs.select(F.lit(None).cast("long").alias("run"), F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b"), no))
     return out
 
 
@@ -314,7 +318,7 @@ def _join_range(percent: int):
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
             token, owner = token[new], owner[new]
         empty = np.zeros(0, np.int64)
-        pairs, run_ids, members = [], empty, empty
+        pairs, run_ids, members, n_small = [], empty, empty, 0
         if len(token):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(first, append=len(token))
@@ -323,6 +327,7 @@ def _join_range(percent: int):
             for gap in range(1, SMALL_RUN):
                 ok = small[:-gap] & (run[:-gap] == run[gap:])
                 pairs.append((owner[:-gap][ok], owner[gap:][ok]))
+            n_small = sum(len(x) for x, _ in pairs)
             large = ~small
             if large.any():
                 o, r = owner[large], run[large]
@@ -343,11 +348,12 @@ def _join_range(percent: int):
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (empty, empty)
         a, b = np.minimum(a, b), np.maximum(a, b)
         ok = (a != b) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
-        both = np.unique(a[ok] * len(keys) + b[ok]) if ok.any() else empty
+        both, once = np.unique(a[ok] * len(keys) + b[ok], return_index=True)  # the first of equal pairs: one of a small run, if any
+        small = (np.flatnonzero(ok) < n_small)[once]
         a, b = keys[both // max(1, len(keys))], keys[both % max(1, len(keys))]
         none = pa.nulls(len(a), pa.int64())
         return pa.table(
-            {"run": pa.chunked_array([none, pa.array(run_ids, pa.int64())]), "a": pa.chunked_array([pa.array(a, pa.int64()), pa.array(members, pa.int64())]), "b": pa.chunked_array([pa.array(b, pa.int64()), pa.nulls(len(members), pa.int64())])}
+            {"run": pa.chunked_array([none, pa.array(run_ids, pa.int64())]), "a": pa.chunked_array([pa.array(a, pa.int64()), pa.array(members, pa.int64())]), "b": pa.chunked_array([pa.array(b, pa.int64()), pa.nulls(len(members), pa.int64())]), "small": pa.chunked_array([pa.array(small, pa.bool_()), pa.array(np.zeros(len(members), bool))])}
         )
 
     return run
@@ -361,6 +367,22 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
+def _across_groups(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes ``a, b`` in different components, of the pairs of groups ``a, b`` of which one holds several classes.
+
+    ``named``: ``node, g, n, bits, comp``.  A group's classes are dealt out by ``SALT``, so no task meets a large group whole.
+    """
+    held = materialize(named.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "held")
+    x, y = (held.select(F.col("g").alias(k), F.struct("size", "lo", "hi").alias(f"h{k}")) for k in "ab")
+    wanted = pairs.join(x, "a").join(y, "b").where("ha.size > 1 OR hb.size > 1").where("least(ha.lo, hb.lo) < greatest(ha.hi, hb.hi)")
+    deals = lambda size: F.ceil(size / SALT).cast("long")
+    left = wanted.select(F.col("a").alias("g"), "b", deals(F.col("hb.size")).alias("deals")).join(named, "g")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    right = named.join(held.select("g", deals(F.col("size")).alias("deals")), "g").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deals")))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.g")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes ``a, b`` whose whole texts link."""
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "text_hash"), "node"), "nodes")
@@ -400,7 +422,7 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"))
     classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "rep.doc_id", "rep.text_hash"), "classes")
     ranges = max(parts, n_bytes // 24 // RANGE + 1)
-    found = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long"), "candidates")
+    found = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
     if any_hot:
         found = found.unionByName(hot_runs(texts, order, percent))
     groups = classes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
@@ -413,16 +435,23 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     pairs = pairs.join(c.alias("l"), F.col("x") == F.col("l.node")).join(c.alias("r"), (F.col("y") == F.col("r.node")) & _may_link("l", "r", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = materialize(_verify(materialize(pairs, "pairs"), docs, classes, percent), "links")
     comp = materialize(components(links), "components")
-    # Runs that still hold several components: all pairs across components.
+    # Runs and pairs of groups that still hold several components: all pairs across components.
     named = classes.select("node", "g", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("g")).distinct().unionByName(groups.where("size > 1").select(F.col("g").alias("run"), "g"))
     member = runs.join(named, "g").select("run", "node", "comp")
     mixed_runs = materialize(member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run"), "mixed")
     few = F.broadcast(mixed_runs) if mixed_runs.count() <= BROADCAST_NODES else mixed_runs
     member = materialize(member.join(few, "run").join(c, "node"), "members")
+    several = groups.where("size > 1").select("g")
+    small = found.where("small").select("a", "b").distinct()
+    small = materialize(small.join(several.withColumnRenamed("g", "a"), "a", "left_semi").unionByName(small.join(several.withColumnRenamed("g", "b"), "b", "left_semi")).distinct(), "small")
+    across = None if small.isEmpty() else _across_groups(small, named.join(c.select("node", "bits"), "node"), percent)
     if not member.isEmpty():
-        across = member.alias("l").join(member.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
-        more = _verify(materialize(across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "across"), docs, classes, percent)
+        in_runs = member.alias("l").join(member.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
+        in_runs = in_runs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        across = in_runs if across is None else across.unionByName(in_runs)
+    if across is not None:
+        more = _verify(materialize(across.distinct(), "across"), docs, classes, percent)
         more = materialize(more, "links")
         if not more.isEmpty():
             comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "components")

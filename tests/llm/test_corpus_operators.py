@@ -326,6 +326,25 @@ def test_jaccard(spark, rows, monkeypatch, tmp_path):
     assert not any(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(again) for b in again[:i])
 
 
+def test_groups_of_several_classes(spark, tmp_path):
+    """Two unlinked classes with one prefix, each linked to a document of its own: both links are found at the default sizes."""
+    rng = random.Random(5)
+    fresh = lambda n: words(rng, n, 10**9).split()
+    core, common = fresh(60), fresh(4)
+    tails = [common + fresh(100), common + fresh(100)]  # frequent shingles come last, so no prefix holds them
+    changed = [core[:at] + fresh(1) + core[at + 1 :] for at in (20, 40)]
+    texts = [c + t for c, t in zip([core, core, *changed], tails * 2, strict=True)]
+    texts += [fresh(400) + t + fresh(400) for t in tails for _ in range(14)]
+    rows = [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]
+    corpus(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    order = J.Order(*J.frequent_shingles(corpus(spark, rows).select("text"), 10**5, 4))
+    one, two = J.shingle_sets([" ".join(t).encode() for t in texts[:2]])
+    assert len(one) == len(two) and (order.prefix(one, 75) == order.prefix(two, 75)).all()
+    got = sorted((tuple(r) for r in J.op7_jaccard(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert {c for d, _, c in got if d in (0, 2)} == {0} and {c for d, _, c in got if d in (1, 3)} == {1}
+
+
 def test_jaccard_empty(spark, tmp_path):
     assert J.op7_jaccard(spark, _empty(spark, corpus(spark, []), tmp_path)).count() == 0
 
