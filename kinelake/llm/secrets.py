@@ -3,8 +3,8 @@
 Base patterns give ``assign``, ``access`` and ``hex`` spans.  The method looks at wider credential
 contexts (``pwd``, ``passphrase``, ``bearer`` ...) and rates each value by the least number of guesses,
 as log10, over all segmentations into dictionary words, dates, repeats, keyboard walks, character
-sequences and brute-force spans; values at or above ``threshold`` that no base span covers become
-``guess`` spans.  A value's cost is found by one left-to-right programme over its characters, so its time
+sequences and brute-force spans; values at or above ``threshold`` that base spans don't cover
+wholly become ``guess`` spans, beside the base spans that touch them.  A value's cost is found by one left-to-right programme over its characters, so its time
 grows with its length only.  Base spans are never removed.
 
 Defined results: null text is empty; a document without findings has zero counts, the digest of the empty
@@ -120,6 +120,14 @@ def guess_cost(value: str) -> float:
     return segments(value)[0]
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether the union of ``spans`` holds every character from ``start`` to ``end``."""
+    for a, b, _ in sorted(spans):
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """All spans ``(start, end, kind)`` of a text by start, then kind; ends are exclusive, in code points."""
     if not text:
@@ -136,7 +144,7 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
         base = list(found)
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not any(a < e and s < b for a, b, _ in base) and guess_cost(text[s:e]) >= threshold:
+            if not _covered(s, e, base) and guess_cost(text[s:e]) >= threshold:
                 found.append((s, e, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -142,6 +142,15 @@ def test_wider_contexts(spark):
     assert "hunter22" not in out[1].text and out[1].n_chars == len(out[1].text) and out[2].text is None
 
 
+def test_partly_covered_values():
+    """A value that base spans only touch is judged as a whole."""
+    for text in ("password: Tr0ub4dor&3xQz!", "auth: zQ9!" + "0123456789abcdef" * 2 + "#kW7~"):
+        spans = find_spans(text)
+        assert [k for _, _, k in spans if k != "guess"] and [text[s:e] for s, e, k in spans if k == "guess"] == [text.split(": ")[1]]
+        assert redact(text, spans) in ("[secret]", "auth: [secret]")
+    assert [k for *_, k in find_spans("password=hunter22")] == ["assign"]
+
+
 def url_brute(url):
     host = path = ""
     if url is not None and "://" in url:
