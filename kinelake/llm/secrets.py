@@ -3,7 +3,10 @@
 Base patterns give ``assign``, ``access`` and ``hex`` spans.  The method looks at wider credential
 contexts (``pwd``, ``passphrase``, ``bearer`` ...) and rates each value by the least number of guesses,
 as log10, over all segmentations into dictionary words, dates, repeats, keyboard walks, character
-sequences and brute-force spans; values at or above ``threshold`` that base spans don't cover
+sequences and brute-force spans.  The words are a ranked list: ``COMMON`` first, then the words of the documents
+themselves, counted by Spark over all of them (a document's credential values don't count, so none vouches for
+itself); words of fewer than ``FLOOR`` documents are no words, and if more than ``LISTED`` are left, the floor rises
+until they fit the broadcast.  Values at or above ``threshold`` that base spans don't cover
 wholly become ``guess`` spans, beside the base spans that touch them.  A value's cost is found by one left-to-right programme over its characters, so its time
 grows with its length only.  Base spans are never removed.
 
@@ -16,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import bounded_batches, text_bytes
+from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -50,7 +54,11 @@ COMMON = (
     "the and for not with this that from have will open close new old my is it in on to of a"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-LONGEST = max(map(len, COMMON))
+#: Documents that a word of the list needs, the most words in it (about 150 bytes each), and words counted by a task before they are emitted.
+FLOOR = 5
+LISTED = 200_000
+FLUSH_WORDS = 100_000
+WORD = re.compile(r"(?<!\w)[^\W\d_]{3,}(?!\w)")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEAR = {a + b for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))} | {
     a + b for up, low in zip(ROWS, ROWS[1:], strict=False) for x, y in zip(up[1:] if up is ROWS[0] else up, low, strict=False) for a, b in ((x, y), (y, x))
@@ -59,11 +67,57 @@ DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 LEET = str.maketrans("@4301$57!", "aaeolss" + "ti")
 
 
+class Words:
+    """Words by rank; ``sizes`` are the lengths that occur."""
+
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks = ranks
+        self.sizes = sorted({len(w) for w in ranks if len(w) > 1})
+
+
+BASIC = Words(RANK)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def emit() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for raw in text_bytes(batch.column(0)):
+            text = raw.decode("utf-8", "replace")
+            if (":" in text or "=" in text) and any(h in text.lower() for h in HINTS):
+                text = CONTEXT.sub(" ", text)
+            counts.update(set(WORD.findall(text.lower())))
+            if len(counts) > FLUSH_WORDS:
+                yield emit()
+    yield emit()
+    release()
+
+
+def ranked_words(docs: DataFrame, text_col: str = "text", listed: int = LISTED) -> Words:
+    """``COMMON``, then the words of ``docs`` by the number of documents that hold them."""
+    found = bounded_batches(docs).select(text_col).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = materialize(found.where(F.col("n") >= FLOOR), "words")
+    step = F.floor(F.log2("n") * 8)
+    least, have = None, 0
+    for s, n in found.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most a few hundred rows
+        if have + n > listed:
+            break
+        least, have = s, have + n
+    rows = found.where(step >= least).collect() if least is not None else []
+    words = [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word)) if r.word not in RANK]
+    return Words(RANK | {w: len(RANK) + 1 + i for i, w in enumerate(words)})
+
+
 def _charset(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def segments(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def segments(value: str, words: Words = BASIC) -> tuple[float, list[tuple[int, int, str]]]:
     """The least log10 guesses of ``value`` and the segmentation (start, end, kind) that reaches it.
 
     Every segment costs the guesses of its kind times 2 (the guesser must also choose where it ends), but
@@ -79,11 +133,13 @@ def segments(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         ends.setdefault(j, []).append((i, cost + cut, kind))
 
     for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
-            if rank and j - i > 1:
+        for size in words.sizes:
+            if (j := i + size) > n:
+                break
+            rank = words.ranks.get(low[i:j]) or words.ranks.get(plain[i:j])
+            if rank:
                 part = value[i:j]
-                extra = (part != low[i:j]) + (low[i:j] not in RANK)
+                extra = (part != low[i:j]) + (low[i:j] not in words.ranks)
                 add(i, j, math.log10(rank) + extra * math.log10(4), "word")
     for m in DATE.finditer(value):
         add(m.start(), m.end(), math.log10(365 * 120 if m.end() - m.start() > 4 else 120), "date")
@@ -116,8 +172,8 @@ def segments(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n][0], out[::-1]
 
 
-def guess_cost(value: str) -> float:
-    return segments(value)[0]
+def guess_cost(value: str, words: Words = BASIC) -> float:
+    return segments(value, words)[0]
 
 
 def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
@@ -128,7 +184,7 @@ def _covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
     return start >= end
 
 
-def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
+def find_spans(text: str, threshold: float = THRESHOLD, words: Words = BASIC) -> list[tuple[int, int, str]]:
     """All spans ``(start, end, kind)`` of a text by start, then kind; ends are exclusive, in code points."""
     if not text:
         return []
@@ -144,7 +200,7 @@ def find_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
         base = list(found)
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
-            if not _covered(s, e, base) and guess_cost(text[s:e]) >= threshold:
+            if not _covered(s, e, base) and guess_cost(text[s:e], words) >= threshold:
                 found.append((s, e, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -155,14 +211,16 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def secret_spans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, spans array<struct<kind, start, end, log10_guesses>>`` for every row of ``docs``."""
+    listed = docs.sparkSession.sparkContext.broadcast(ranked_words(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
+        words = listed.value
         for batch in batches:
             rows = []
             for b in text_bytes(batch.column(1)):
                 text = b.decode("utf-8", "replace")
-                rows.append([{"kind": k, "start": s, "end": e, "log10_guesses": guess_cost(_value(text, s, e, k))} for s, e, k in find_spans(text, threshold)])
+                rows.append([{"kind": k, "start": s, "end": e, "log10_guesses": guess_cost(_value(text, s, e, k), words)} for s, e, k in find_spans(text, threshold, words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     shape = f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long, log10_guesses: double>>"
@@ -198,13 +256,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; its secrets are masked and ``n_chars`` follows the new text."""
     names = docs.columns
+    listed = spark.sparkContext.broadcast(ranked_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = listed.value
         at = names.index("text")
         for batch in batches:
             texts = []
             for t in batch.column(at).to_pylist():
-                spans = find_spans(t) if t else []
+                spans = find_spans(t, words=words) if t else []
                 texts.append(redact(t, spans) if spans else t)
             yield batch.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
 

@@ -151,6 +151,19 @@ def test_partly_covered_values():
     assert [k for *_, k in find_spans("password=hunter22")] == ["assign"]
 
 
+def test_ordinary_words_stay(spark):
+    """Words of the corpus are words; values of credential contexts don't make words of themselves."""
+    values = ["auth: middleware", "credentials: everyone", "bearer: responsible", "passphrase: something"]
+    prose = "Everyone responsible for the middleware does something"
+    secret = "pwd: kqxvzjwpbtgm"
+    texts = [prose] * 6 + [" and ".join(values)] + [secret] * 8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: [x.kind for x in r.spans] for r in secret_spans(docs).collect()}
+    assert got == {i: ["guess"] if t == secret else [] for i, t in enumerate(texts)}
+    out = {r.doc_id: r.text for r in secrets_stage(spark, docs, "").collect()}
+    assert out == {i: "pwd: [secret]" if t == secret else t for i, t in enumerate(texts)}
+
+
 def url_brute(url):
     host = path = ""
     if url is not None and "://" in url:
