@@ -117,6 +117,43 @@ def _charset(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+class _Runs:
+    """The run through the present character, and the starts in it that can still give the least cost.
+
+    A start ``i`` costs ``open(i) + log10(end - i)``, and ``each`` for every character but the first.  Of two starts the earlier gains on the
+    later as the end moves on, so the starts form a stack: its top is best now, and beside each start is the end from
+    which the one below is better.
+    """
+
+    def __init__(self, kind: str, each: float):
+        self.kind, self.each, self.first, self.stack = kind, each, 0, []
+
+    def begin(self, at: int) -> None:
+        self.first = at
+        self.stack.clear()
+
+    def open(self, i: int, cost: float, end: int) -> None:
+        cost -= self.each * (i + 1)
+        if self.stack and self.least(end)[0] <= cost + math.log10(end - i) + self.each * end:
+            return  # never better than the present best
+        while self.stack:
+            below, at, until = self.stack[-1]
+            ratio = 10 ** min(300.0, cost - below)
+            since = (ratio * i - at) / (ratio - 1) if ratio > 1 else math.inf
+            if since < until:
+                break
+            self.stack.pop()
+        self.stack.append((cost, i, since if self.stack else math.inf))
+
+    def least(self, end: int) -> tuple[float, int]:
+        while self.stack and self.stack[-1][2] <= end:
+            self.stack.pop()
+        if not self.stack:
+            return math.inf, 0
+        cost, i, _ = self.stack[-1]
+        return cost + math.log10(end - i) + self.each * end, i
+
+
 def segments(value: str, words: Words = BASIC) -> tuple[float, list[tuple[int, int, str]]]:
     """The least log10 guesses of ``value`` and the segmentation (start, end, kind) that reaches it.
 
@@ -144,16 +181,8 @@ def segments(value: str, words: Words = BASIC) -> tuple[float, list[tuple[int, i
     for m in DATE.finditer(value):
         add(m.start(), m.end(), math.log10(365 * 120 if m.end() - m.start() > 4 else 120), "date")
     step = [ord(low[k]) - ord(low[k - 1]) for k in range(1, len(low))]
-    for kind in ("repeat", "walk", "up", "down"):  # one character again and again, keyboard walks, and abcd or 4321
-        base = {"walk": math.log10(47)}.get(kind, math.log10(52))
-        until = [n] * (n + 1)  # where the run through each character ends
-        for k in range(n - 2, -1, -1):
-            same = low[k : k + 2] in NEAR if kind == "walk" else step[k] == {"repeat": 0, "up": 1, "down": -1}[kind]
-            until[k] = until[k + 1] if same else k + 1
-        for i in range(n - 2):
-            if (j := until[i]) - i >= 3:
-                for end in range(i + 3, j + 1) if j - i <= 20 else (j,):
-                    add(i, end, (_charset(low[i]) if kind == "repeat" else base) + math.log10(end - i) + (0.6 * (end - i - 1) if kind == "walk" else 0), kind)
+    runs = [_Runs("repeat", 0.0), _Runs("walk", 0.6), _Runs("up", 0.0), _Runs("down", 0.0)]  # one character again and again, keyboard walks, and abcd or 4321
+    want = {"repeat": 0, "up": 1, "down": -1}
     best = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
     brute = [math.inf] * (n + 1)  # the best cost with a brute-force span open at this end
     brute_from = [0] * (n + 1)
@@ -162,6 +191,14 @@ def segments(value: str, words: Words = BASIC) -> tuple[float, list[tuple[int, i
         opened, going = best[j - 1][0] + cut + one, brute[j - 1] + one
         brute[j], brute_from[j] = (going, brute_from[j - 1]) if going <= opened else (opened, j - 1)
         best[j] = (brute[j], brute_from[j], "brute")
+        for run in runs:
+            if j > 1 and not (low[j - 2 : j] in NEAR if run.kind == "walk" else step[j - 2] == want[run.kind]):
+                run.begin(j - 1)
+            if (i := j - 3) >= run.first:
+                run.open(i, best[i][0] + cut + (_charset(low[i]) if run.kind == "repeat" else math.log10(47 if run.kind == "walk" else 52)), j)
+            cost, i = run.least(j)
+            if cost < best[j][0]:
+                best[j] = (cost, i, run.kind)
         for i, cost, kind in ends.get(j, ()):
             if best[i][0] + cost < best[j][0]:
                 best[j] = (best[i][0] + cost, i, kind)

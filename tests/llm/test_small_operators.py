@@ -129,6 +129,37 @@ def test_guess_cost_is_the_minimum():
     lru_cache  # noqa: B018
 
 
+def test_long_runs_give_the_minimum():
+    """Against a quadratic programme over single segments, for values whose runs are long."""
+    import random
+    from math import inf, log10
+
+    from kinelake.llm.secrets import NEAR, RANK, _charset
+
+    def price(v, i, j):
+        part = v[i:j]
+        steps = {ord(b) - ord(a) for a, b in zip(part, part[1:], strict=False)}
+        costs = [sum(map(_charset, part))]
+        if j - i > 1 and part in RANK:
+            costs.append(log10(RANK[part]))
+        if j - i >= 3:
+            costs += [(_charset(part[0]) if step == 0 else log10(52)) + log10(j - i) for step in (0, 1, -1) if steps == {step}]
+            if all(part[k : k + 2] in NEAR for k in range(len(part) - 1)):
+                costs.append(log10(47) + log10(j - i) + 0.6 * (j - i - 1))
+        return log10(2) + min(costs)
+
+    rng = random.Random(3)
+    parts = ["sunshine", "pass", "dddd", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcb", "qwertyuiop", "q", "qaqaqaqaqaqaqaqaqaqaqaqaqaqaqaqa", "password"]
+    values = ["s" * 29 + "sunshine", "s" * 14 + "sunshine", "a" * 24 + "pass", "password" + "d" * 30 + "dragon"]
+    values += ["".join(rng.choice([rng.choice(parts), rng.choice("asdq") * rng.randint(1, 40)]) for _ in range(4)) for _ in range(40)]
+    for v in values:
+        best = [0.0] + [inf] * len(v)
+        for j in range(1, len(v) + 1):
+            best[j] = min(best[i] + price(v, i, j) for i in range(j))
+        assert guess_cost(v) == pytest.approx(best[-1], abs=1e-9), v
+    assert find_spans("passphrase: " + "s" * 29 + "sunshine") == []
+
+
 def test_wider_contexts(spark):
     text = "pwd => 'kX9!pQ2#vL7m' and passphrase: changeme1 password=hunter22 bearer: the"
     spans = find_spans(text)
