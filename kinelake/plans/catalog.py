@@ -469,8 +469,8 @@ def wham_energies(spark, d):
 
 @register(None)
 def mbar_energies(spark, d):
-    m = T.mbar(samples(spark, d), maxiter=5, maxerr=1e-6)
-    return long_table(spark, [(k, float(v)) for k, v in enumerate(m.f_therm)], "k int, f double")
+    m = T.mbar(samples(spark, d))
+    return long_table(spark, [(k, float(v), float(m.increments[-1])) for k, v in enumerate(m.f_therm)], "k int, f double, increment double")
 
 
 @register(None)
@@ -481,8 +481,8 @@ def dtram_energies(spark, d):
 
 @register(None)
 def tram_energies(spark, d):
-    m = T.TRAM(1, maxiter=3, init=None, connectivity="summed_count_matrix").fit(samples(spark, d)).model
-    return long_table(spark, [(i, float(v)) for i, v in enumerate(m.f)], "i int, f double")
+    m = T.TRAM(1, connectivity="summed_count_matrix").fit(samples(spark, d)).model
+    return long_table(spark, [(i, float(v), float(m.increments[-1])) for i, v in enumerate(m.f)], "i int, f double, increment double")
 
 
 # Models
@@ -521,13 +521,13 @@ def nystroem_tica(spark, d):
 @register(None)
 def kmeans_dtrajs(spark, d):
     f = embeddings(spark, d)
-    return C.KMeans(10, max_iter=3).fit(f).transform(f)
+    return C.KMeans(10).fit(f).transform(f)
 
 
 @register(None)
 def mini_batch_kmeans_dtrajs(spark, d):
     f = embeddings(spark, d)
-    return C.MiniBatchKMeans(10, max_iter=3).fit(f).transform(f)
+    return C.MiniBatchKMeans(10).fit(f).transform(f)
 
 
 @register(None)
@@ -562,7 +562,7 @@ def implied_timescales(spark, d):
 
 @register(None)
 def bayesian_msm(spark, d):
-    return K.BayesianMSM(1, 5).fit(states(spark, d)).table(spark)
+    return K.BayesianMSM(1).fit(states(spark, d)).table(spark)
 
 
 @register(None)
@@ -586,13 +586,14 @@ def reactive_flux(spark, d):
 
 @register(None)
 def hidden_msm(spark, d):
-    m = HMSMEstimator(2, 1, maxit=5).fit(states(spark, d)).model
-    return long_table(spark, [(i, j, float(m.p[i, j])) for i in range(2) for j in range(2)], "i int, j int, p double")
+    e = HMSMEstimator(2, 1).fit(states(spark, d))
+    increment = float(e.likelihoods[-1] - e.likelihoods[-2]) if len(e.likelihoods) > 1 else None
+    return long_table(spark, [(i, j, float(e.model.p[i, j]), increment) for i in range(2) for j in range(2)], "i int, j int, p double, increment double")
 
 
 @register(None)
 def oom_reweighted_msm(spark, d):
-    m = OOMEstimator(1, nbs=50).fit(states(spark, d)).model
+    m = OOMEstimator(1).fit(states(spark, d)).model
     return long_table(spark, [(int(m.active[i]), int(m.active[j]), float(m.p[i, j])) for i in range(m.nstates) for j in range(m.nstates)], "i int, j int, p double")
 
 

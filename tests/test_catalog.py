@@ -45,3 +45,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["i", "j", "p"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_own_limits(monkeypatch):
+    """The queries of iterative operators leave tolerances and iteration limits to the operators."""
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, **options):
+        raise Asked(options)
+
+    def options(name):
+        with pytest.raises(Asked) as e:
+            catalog.queries()[name](None, DATA)
+        return e.value.args[0]
+
+    for f in ("samples", "states", "embeddings"):
+        monkeypatch.setattr(catalog, f, lambda spark, d: None)
+    for name, module, operator in (("mbar_energies", catalog.T, "mbar"), ("tram_energies", catalog.T, "TRAM"), ("hidden_msm", catalog, "HMSMEstimator"), ("kmeans_dtrajs", catalog.C, "KMeans"), ("mini_batch_kmeans_dtrajs", catalog.C, "MiniBatchKMeans"), ("bayesian_msm", catalog.K, "BayesianMSM"), ("oom_reweighted_msm", catalog, "OOMEstimator")):
+        monkeypatch.setattr(module, operator, asked)
+        assert not options(name).keys() & {"maxiter", "maxerr", "maxit", "max_iter", "init", "nbs", "nsamples"}, name
