@@ -19,6 +19,8 @@ from kinelake.sources.frames import linear, strided
 
 #: Bytes of centres that may travel with every task.
 CENTER_BYTES = 256 << 20
+#: Rounds of k-means|| seeding.
+ROUNDS = 5
 
 
 def squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -118,22 +120,52 @@ def _partial_sums(frames: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, n
     return n, s, cost
 
 
-def seed_centers(frames: DataFrame, k: int, strategy: str = "kmeans++", seed: int = 0, pool: int | None = None) -> np.ndarray:
-    """Initial centres: uniform frames, or k-means++ over a bounded uniform pool of frames (default ``20 k``, at least 1000)."""
-    size = k if strategy == "uniform" else pool or max(1000, 20 * k)
+def _drawn(frames: DataFrame, centers: np.ndarray, share: float, seed: int) -> np.ndarray:
+    """Frames drawn independently, each with probability ``share`` times its squared distance from ``centers``."""
+    c = _shared(frames, centers)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "traj_id", "t"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, d = _nearest(_matrix(batch.column(1)), c.value, "euclidean")
+                yield batch.filter(pa.array(np.asarray(batch.column(0)) < share * d**2)).select(["x"])
+
+    rows = frames.select(draw.alias("u"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "x array<double>")
+    return np.array([r.x for r in rows.collect()], float).reshape(-1, centers.shape[1])  # 2 k of them are expected
+
+
+def seed_centers(frames: DataFrame, k: int, strategy: str = "kmeans++", seed: int = 0) -> np.ndarray:
+    """Initial centres: uniform frames, or k-means|| over all frames.
+
+    Each of ``ROUNDS`` rounds draws about ``2 k`` frames by their squared distance from the candidates so far; the candidates,
+    weighted by the frames nearest to them, are reclustered by k-means++ on the driver.
+    """
     key = F.xxhash64(F.lit(seed), "traj_id", "t")
-    x = np.array([r[0] for r in frames.orderBy(key, "traj_id", "t").limit(size).select("x").collect()], float)
-    if len(x) < k:
-        raise ValueError(f"{k} centres need at least as many frames, there are {len(x)}")
+    first = np.array([r[0] for r in frames.orderBy(key, "traj_id", "t").limit(k).select("x").collect()], float)
+    if len(first) < k:
+        raise ValueError(f"{k} centres need at least as many frames, there are {len(first)}")
     if strategy == "uniform":
-        return x[:k]
+        return first
+    x = first[:1]
+    for it in range(ROUNDS):
+        cost = _partial_sums(frames, x)[2]
+        if cost <= 0:
+            break
+        x = np.unique(np.concatenate([x, _drawn(frames, x, 2 * k / cost, seed + 1 + it)]), axis=0)
+    if len(x) < k:
+        x = np.concatenate([x, first])
+    n = _partial_sums(frames, x)[0]
     rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(x)))]
+    chosen = [int(rng.choice(len(x), p=n / n.sum()))]
     d = squared_distances(x, x[chosen])[:, 0]
+    d[chosen] = 0
     for _ in range(1, k):
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
+        p = n * d
+        p = p / p.sum() if p.sum() > 0 else np.full(len(x), 1 / len(x))
         chosen.append(int(rng.choice(len(x), p=p)))
         d = np.minimum(d, squared_distances(x, x[chosen[-1:]])[:, 0])
+        d[chosen] = 0
     return x[chosen]
 
 

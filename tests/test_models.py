@@ -237,3 +237,20 @@ def test_datasets(spark):
     assert us.count() == 150 and md.count() == 40 and len(centers) == len(forces) == 3
     assert datasets.multi_temperature(spark, length0=30, length1=30, n0=1, n1=1).select("temp").distinct().count() == 2
     assert datasets.quadwell(spark, 1, 50).count() == 50
+
+
+def test_seeds_see_every_frame(spark):
+    """A far cluster of 5 in 20,005 frames gets a centre."""
+    from kinelake.operators.clustering import KMeans, MiniBatchKMeans
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(20000, 2)) + [[0.0, 0.0], [10.0, 0.0]] * 10000, rng.normal(size=(5, 2)) + 1000])
+    frames = spark.createDataFrame([(0, i, v) for i, v in enumerate(x.tolist())], "traj_id long, t long, x array<double>").repartition(4).persist()
+    for kind in (KMeans, MiniBatchKMeans):
+        for seed in range(2):
+            m = kind(3, max_iter=3, seed=seed).fit(frames)
+            assert np.linalg.norm(m.centers - 1000, axis=1).min() < 5
+    assert len(np.unique(KMeans(3, max_iter=0).fit(frames).centers, axis=0)) == 3
+    same = spark.createDataFrame([(0, t, [1.0]) for t in range(4)], "traj_id long, t long, x array<double>")
+    assert KMeans(2).fit(same).centers.tolist() == [[1.0], [1.0]]
+    frames.unpersist()
