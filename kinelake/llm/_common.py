@@ -56,21 +56,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinelake_table = (spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables this process wrote to the shared folder; call it when results have been stored."""
-    jvm = spark.sparkContext._jvm
     for session, path in [x for x in _written if x[0] is spark]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(session, path)
         _written.remove((session, path))
 
 
-def drop_table(df: DataFrame, path: str) -> None:
-    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that nothing still to be computed reads."""
+    for df in tables:
+        spark, path = df._kinelake_table
+        _delete(spark, path)
+        _written.remove((spark, path))
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

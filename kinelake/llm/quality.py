@@ -1,37 +1,46 @@
 """Quality rules: repetition and length rules, and n-gram perplexity bands by language.
 
-The language model is a modified Kneser-Ney model of character 5-grams inside words, one for each
-language.  A word is read as ``^^^^word$``, so every character has a full context that begins with the word;
-Spark counts the n-grams of all words of all documents, derives the continuation counts, discounts and
-interpolation weights of every order as aggregations and joins, and gives each 5-gram that occurs its
-log probability.  The model is held as sorted hash arrays: per language, ascending 64-bit hashes beside
-log probabilities, searched by bisection.
-
-Scoring leaves each occurrence out of the counts that judge it.  While the model's rows stay within ``BROADCAST_GRAMS`` (12 bytes each) the arrays are broadcast;
-beyond that, documents are dealt into blocks of bounded size, and a join brings each block the part of the
-model that its words use.  Both ways give the same figures.
-
-Bands: a document's figure is its mean negative log probability per character (the log of its perplexity).
-Per language, the median and the median deviation come from a histogram over all documents; a document
-outside ``median - low * deviation .. median + high * deviation`` is rejected.
+The language model is a modified Kneser-Ney model of character 5-grams, one for each language.  A document
+is read as one stream, its words joined by single spaces, with four start marks before it and an end mark behind,
+so n-grams run across word boundaries: how words end, what stands between them and how the next begins all count.
+Spark counts the n-grams of all whole documents, derives the continuation counts, discounts and interpolation
+weights of every order as aggregations and joins, and gives each 5-gram that occurs its log probability.  The model
+is held as sorted hash arrays: per language, ascending 64-bit hashes beside log probabilities, with the
+place where each value of the leading bits begins.
+
+Scoring leaves each occurrence out of the counts that judge it.  While the model's rows stay within
+``BROADCAST_GRAMS`` (12 bytes each) the arrays are broadcast; beyond that, documents are dealt into blocks of bounded
+size, and a join brings each block the part of the model that its streams use.  Both ways give the same figures.
+
+Bands: a document's figure is its mean negative log probability per character (the log of its perplexity).  A short
+document's figure scatters more, so its distance from the language's median is divided by ``sqrt(1 + STEADY / characters)``.
+Per language, the median and the median of those distances come from histograms over all documents; a
+document more than ``low`` such deviations below the median or ``high`` above it is rejected.
+
+Memory: a task holds ``PIECE`` n-grams at once, at most ``FLUSH_GRAMS`` counted ones, and its model (12 bytes a row, or
+what ``BLOCK_BYTES`` of text use of it).
 
 Defined results: null text has no words (all counts 0, ``base_failed``); a null language is a language of
 its own, shared with the empty string; documents without words have no perplexity; repeated rows and ids
-keep their rows; extra columns are ignored; an empty table gives an empty one.
+keep their rows, each with its own verdict; extra columns, whatever their names, are ignored by the query and kept by the
+stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, discard, materialize, release, text_bytes
+from kinelake.llm._hashing import mixed, window_hashes, word_hashes
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -41,15 +50,17 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Band widths in deviations below and above the median, and the least deviation, in nats per character.
-LOW, HIGH, LEAST = 8.0, 16.0, 0.03
-BIN = 0.005
-BROADCAST_GRAMS = 1_000_000
-#: Languages up to which their discounts are broadcast (about 200 bytes each).
+LOW, HIGH, LEAST = 3.0, 3.0, 0.005
+#: Characters at which a document's own draw adds as much variance as documents differ by.
+STEADY = 2400
+BIN = 0.001
+BROADCAST_GRAMS = 2_000_000
+#: Languages up to which their figures are broadcast (about 200 bytes each).
 BROADCAST_LANGUAGES = 10_000
-#: Distinct words counted before their n-grams are emitted; bounds a task's memory.
-FLUSH_WORDS = 100_000
-CACHE = 60_000
-BLOCK_BYTES = 8 << 20
+#: N-grams handled at once, and distinct ones counted by a task before they are emitted (about 50 bytes each).
+PIECE = 1 << 19
+FLUSH_GRAMS = 500_000
+BLOCK_BYTES = 16 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,7 +95,7 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(mark[:-1]) > 0).sum())
 
 
-def base_figures(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
+def base_figures(raw: bytes, n_words: int, repeated: int) -> tuple[int, int, int, int, int]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of a text."""
     blank = len(raw) - len(raw.translate(None, SPACES))
     chars = len(raw) if raw.isascii() else len(raw.decode("utf-8", "replace"))
@@ -96,51 +107,101 @@ def base_figures(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
             dup += 1
         elif line.strip(SPACES):
             seen.add(line)
-    return len(words), chars - blank, symbols, dup, repeated_words(words)
-
-
-def _windows(words: list[bytes]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The padded words end to end, where their n-grams begin, and how many each word has."""
-    text = [START * (ORDER - 1) + w.decode("utf-8", "replace") + END for w in words]
-    sizes = np.fromiter(map(len, text), np.int64, len(text))
-    lengths = sizes - (ORDER - 1)
-    first = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    return "".join(text), first, lengths
-
-
-def grams_of(word: str) -> list[str]:
-    s = START * (ORDER - 1) + word + END
-    return [s[i : i + ORDER] for i in range(len(word) + 1)]
+    return n_words, chars - blank, symbols, dup, repeated
+
+
+def all_base_figures(raws: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+    """:func:`base_figures` of each text; only texts in which a window's hash comes twice are looked through for repeats."""
+    words, counts = word_hashes(raws)
+    h = window_hashes(words, WINDOW)
+    row = np.repeat(np.arange(len(raws)), counts)
+    inside = np.flatnonzero(row[: len(h)] == row[WINDOW - 1 :]) if len(h) else np.zeros(0, np.int64)
+    of = row[inside]
+    key = h[inside] ^ mixed(of.astype(np.uint64))
+    order = np.argsort(key)
+    key, of = key[order], of[order]
+    suspect = set(of[1:][(key[1:] == key[:-1]) & (of[1:] == of[:-1])].tolist())
+    return [base_figures(raw, n, repeated_words(raw.split()) if i in suspect else 0) for i, (raw, n) in enumerate(zip(raws, counts.tolist(), strict=True))]
+
+
+def stream(raw: bytes) -> str:
+    """A text's words joined by single spaces."""
+    return b" ".join(raw.split()).decode("utf-8", "replace")
+
+
+def grams_of(raw: bytes) -> list[str]:
+    """The n-grams of a text, each with its last character's whole context."""
+    s = START * (ORDER - 1) + stream(raw) + END
+    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)] if len(s) > ORDER else []
+
+
+def _windows(streams: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of about ``PIECE`` n-grams: code points, where the n-grams begin, and the stream each belongs to."""
+    parts, owners, size = [], [], 0
+
+    def laid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        lengths = sizes - (ORDER - 1)
+        first = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), first, np.repeat(np.array(owners), lengths)
+
+    for k, s in enumerate(streams):
+        if not s:
+            continue
+        s = START * (ORDER - 1) + s + END
+        for at in range(0, len(s) - ORDER + 1, PIECE):
+            parts.append(s[at : at + PIECE + ORDER - 1])
+            owners.append(k)
+            size += len(parts[-1])
+            if size >= PIECE:
+                yield laid()
+                parts, owners, size = [], [], 0
+    if parts:
+        yield laid()
+
+
+class _Counts:
+    """Counts of n-grams by hash, each with its code points."""
+
+    def __init__(self) -> None:
+        self.h, self.n, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
+
+    def add(self, h: np.ndarray, codes: np.ndarray, first: np.ndarray) -> None:
+        new, at, n = np.unique(h, return_index=True, return_counts=True)
+        both, at2, which = np.unique(np.concatenate([self.h, new]), return_index=True, return_inverse=True)
+        self.n = np.bincount(which, np.concatenate([self.n, n])).astype(np.int64)
+        self.codes = np.concatenate([self.codes, codes[first[at][:, None] + np.arange(ORDER)]])[at2]
+        self.h = both
+
+    def rows(self, lang: str) -> pa.RecordBatch:
+        text = self.codes.tobytes().decode("utf-32-le")
+        grams = pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(self.n), pa.string()), grams, pa.array(self.n)], names=["lang", "gram", "n"])
+
+
+def _by_language(langs: list[str], raws: list[bytes]) -> Iterator[tuple[str, list[int], list[str]]]:
+    at: dict[str, list[int]] = defaultdict(list)
+    for i, lang in enumerate(langs):
+        at[lang].append(i)
+    for lang, where in at.items():
+        yield lang, where, [stream(raws[i]) for i in where]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = defaultdict(Counter)
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        for lang, words in counts.items():
-            if not words:
-                continue
-            text, first, lengths = _windows(list(words))
-            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            h = gram_hashes(codes, first)
-            _, at, which = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([text[i : i + ORDER] for i in first[at].tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-        counts.clear()
-
+    counts: dict[str, _Counts] = defaultdict(_Counts)
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            for lang, raw in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
-                counts[lang].update(raw.split())
-                if sum(map(len, counts.values())) > FLUSH_WORDS:
-                    yield from emit()
-    yield from emit()
+        for lang, _, streams in _by_language(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            for codes, first, _ in _windows(streams):
+                counts[lang].add(gram_hashes(codes, first), codes, first)
+                if sum(len(c.n) for c in counts.values()) > FLUSH_GRAMS:
+                    yield from (c.rows(x) for x, c in counts.items() if len(c.n))
+                    counts.clear()
+    yield from (c.rows(x) for x, c in counts.items() if len(c.n))
     release()
 
 
 def ngram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Rows ``lang, gram, n``: how often each 5-gram occurs in all words of all documents."""
+    """Rows ``lang, gram, n``: how often each 5-gram occurs in the streams of all documents."""
     rows = bounded_batches(docs).select(F.coalesce(lang_col, F.lit("")).alias("lang"), text_col).mapInArrow(_count_grams, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -190,161 +251,180 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 def gram_hashes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """64-bit hashes of the ``ORDER`` code points from each place of ``first``."""
-    h = np.zeros(len(first), np.uint64)
+    n = len(codes) - ORDER + 1
+    h = np.zeros(n, np.uint64)
     for k in range(ORDER):
-        h = (h + codes[first + k] + np.uint64(1)) * MULTIPLIER
+        h = (h + codes[k : k + n] + np.uint64(1)) * MULTIPLIER
         h ^= h >> np.uint64(29)
-    return h
-
-
-def sorted_arrays(grams: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The model of one language as ascending hashes and their log probabilities."""
-    h = gram_hashes(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32), np.arange(len(grams)) * ORDER)
-    order = np.argsort(h)
-    return h[order], np.asarray(logp, np.float64)[order]
-
-
-class Scorer:
-    """Log probabilities of words under sorted hash arrays, remembered for the words seen lately."""
-
-    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.model = model
-        self.known: dict[str, dict[bytes, float]] = defaultdict(dict)
-
-    def learn(self, lang: str, words: set[bytes]) -> None:
-        cache = self.known[lang]
-        if len(cache) > CACHE:
-            cache.clear()
-        new = [w for w in words if w not in cache]
-        if not new:
-            return
-        hashes, logp = self.model.get(lang, (np.zeros(0, np.uint64), np.zeros(0)))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            text, first, lengths = _windows(part)
-            h = gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), first)
-            i = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-            # A 5-gram that isn't in the model (another corpus) gets the least probability it holds.
-            p = np.where(hashes[i] == h, logp[i], logp.min()) if len(hashes) else np.full(len(h), -np.log(1 << 21))
-            sums = np.add.reduceat(p, np.cumsum(lengths) - lengths)
-            cache.update(zip(part, sums.tolist(), strict=True))
-
-    def nll(self, lang: str, words: list[bytes], chars: int) -> float | None:
-        """Mean negative log probability per character, word ends included; None without words."""
-        if not words:
-            return None
-        get = self.known[lang].__getitem__
-        return -float(np.fromiter(map(get, words), np.float64, len(words)).sum()) / (chars + len(words))
+    return h[first]
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """Rows ``lang, h, logp`` for ``lang, gram, logp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
+            h = gram_hashes(codes, np.arange(0, len(codes), ORDER)) if len(codes) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), pc.cast(batch.column(2), pa.float32())], names=["lang", "h", "logp"])
+
+    return model.mapInArrow(run, "lang string, h long, logp float")
+
+
+class SortedHashes:
+    """Log probabilities by ascending hash; ``starts`` tells where each value of the leading bits begins."""
+
+    def __init__(self, h: np.ndarray, logp: np.ndarray):
+        order = np.argsort(h)
+        self.h = np.append(h[order], np.uint64(2**64 - 1))
+        self.logp = np.append(logp[order], logp.min() if len(h) else np.float32(-np.log(1 << 21))).astype(np.float32)
+        bits = min(24, max(1, len(h).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Log probabilities; an n-gram that isn't there (another corpus) gets the least one."""
+        at = self.starts[(h >> self.shift).astype(np.int64)]
+        ahead = np.flatnonzero(self.h[at] < h)
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[self.h[at[ahead]] < h[ahead]]
+        return self.logp[np.where(self.h[at] == h, at, len(self.h) - 1)]
+
+
+Model = dict[str, SortedHashes]
+NOTHING = SortedHashes(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+
+def sorted_arrays(table: pa.Table) -> Model:
+    """The model of each language of a table ``lang, h, logp``."""
+    table = table.select(["lang", "h", "logp"]).combine_chunks()
+    out = {}
+    for lang in pc.unique(table["lang"]).to_pylist():
+        part = table.filter(pc.equal(table["lang"], lang))
+        out[lang] = SortedHashes(part["h"].to_numpy().view(np.uint64), part["logp"].to_numpy())
+    return out
+
+
+def mean_nll(model: SortedHashes, streams: list[str]) -> list[float | None]:
+    """Mean negative log probability per character, the end included; None for empty streams."""
+    sums = np.zeros(len(streams))
+    for codes, first, owner in _windows(streams):
+        begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sums[owner[begins]] -= np.add.reduceat(model.find(gram_hashes(codes, first)).astype(np.float64), begins)
+    return [x / (len(s) + 1) if s else None for x, s in zip(sums.tolist(), streams, strict=True)]
 
 
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double"
 
 
-def _score(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Figures of the rows of ``batch``: id, lang, text; a few hundred rows at a time."""
+def _score(model: Model, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Figures beside the rows of ``batch`` (row, lang, and text where the row doesn't hold it), some hundred at a time."""
     for at in range(0, batch.num_rows, 400):
         part = batch.slice(at, 400)
-        langs, raws = part.column(1).to_pylist(), text_bytes(part.column(2))
-        split = [r.split() for r in raws]
-        for lang in set(langs):
-            scorer.learn(lang, set().union(*[w for x, w in zip(langs, split, strict=True) if x == lang]))
-        rows = []
-        for lang, raw, words in zip(langs, raws, split, strict=True):
-            base = base_figures(raw, words)
-            rows.append((*base, scorer.nll(lang, words, base[1])))
-        cols = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, pa.float64() if i == 5 else pa.int64()) for i, c in enumerate(cols)]], names=["doc_id", "lang", *[x.split()[0] for x in SCORED.split(", ")]])
-
-
-def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, out: bool = True, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Rows ``doc_id, lang``, the base figures and ``nll`` for every row of ``docs``.
-
-    ``out`` leaves one occurrence out, as is right for documents that the model has counted.
+        langs = part.column(1).to_pylist()
+        raws = text_bytes(part.column(2) if part.num_columns > 2 else pc.struct_field(part.column(0), "text"))
+        nll: list[float | None] = [None] * len(raws)
+        for lang, where, streams in _by_language(langs, raws):
+            for i, x in zip(where, mean_nll(model.get(lang, NOTHING), streams), strict=True):
+                nll[i] = x
+        figures = [pa.array(c, pa.int64()) for c in zip(*all_base_figures(raws), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *figures, pa.array(nll, pa.float64())], names=["row", "lang", *[x.split()[0] for x in SCORED.split(", ")]])
+
+
+def score(docs: DataFrame, model: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, out: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Rows ``row, lang``, the base figures and ``nll`` for every row of ``docs`` (``text``, ``lang``), written to the shared folder.
+
+    ``row`` holds the columns ``keep``.  ``out`` leaves one occurrence out, as is right for documents that the
+    model has counted.
     """
     spark = docs.sparkSession
-    model = model.select("lang", "gram", F.col("logp_out" if out else "logp").alias("logp"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, {SCORED}"
+    keep = ["doc_id"] if keep is None else keep
+    model = materialize(hashed(model.select("lang", "gram", F.col("logp_out" if out else "logp").alias("logp"))), "model")
+    rows = bounded_batches(docs).select(F.struct(*keep).alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), *([] if "text" in keep else ["text"]))
+    shape = T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang string, " + SCORED)])
     if model.count() <= broadcast_grams:
-        table = model.toArrow()
-        by_lang = {lang: table.filter(pa.compute.equal(table["lang"], lang)) for lang in set(table["lang"].to_pylist())}
-        arrays = spark.sparkContext.broadcast({lang: sorted_arrays(t["gram"].to_pylist(), t["logp"].to_numpy()) for lang, t in by_lang.items()})
-        del table, by_lang
+        arrays = spark.sparkContext.broadcast(sorted_arrays(model.toArrow()))
         release()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(arrays.value)
             for batch in batches:
-                yield from _score(scorer, batch)
-            scorer.known.clear()
+                yield from _score(arrays.value, batch)
             release()
 
-        return rows.mapInArrow(run, shape)
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_bytes // BLOCK_BYTES + 1)))
+        scored = materialize(rows.mapInArrow(run, shape), "scored")
+        arrays.destroy()  # its table is written
+        discard(model)
+        return scored
+    text = F.col("text" if "text" in rows.columns else "row.text")
+    n_bytes = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # Written once: a row's block must not change between the two uses; copies of a text are dealt out like other rows.
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_bytes // BLOCK_BYTES + 1))), "blocks")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                words: dict[tuple, set] = defaultdict(set)
-                for block, lang, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
-                    words[block, lang].update(raw.split())
-                got = [(b, lang, g) for (b, lang), ws in words.items() for g in {g for w in ws for g in grams_of(w.decode("utf-8", "replace"))}]
-                if got:
-                    b, lang, g = zip(*got, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(lang, pa.string()), pa.array(g, pa.string())], names=["block", "lang", "gram"])
-
-    parts = rows.select("block", "lang", "text").mapInArrow(needed, "block long, lang string, gram string").distinct().join(model, ["lang", "gram"])
+            for lang, where, streams in _by_language(list(zip(*[c.to_pylist() for c in batch.columns[:2]], strict=True)), text_bytes(batch.column(2))):
+                for codes, first, _ in _windows(streams):
+                    h = np.unique(gram_hashes(codes, first))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang[0]] * len(h), pa.int64()), pa.array([lang[1]] * len(h), pa.string()), pa.array(h.view(np.int64))], names=["block", "lang", "h"])
+
+    parts = rows.select("block", "lang", text.alias("text")).mapInArrow(needed, "block long, lang string, h long").distinct().join(model, ["lang", "h"])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        langs = np.array(right["lang"].to_pylist(), object)
-        grams, logp = np.array(right["gram"].to_pylist(), object), right["logp"].to_numpy()
-        scorer = Scorer({lang: sorted_arrays(grams[langs == lang].tolist(), logp[langs == lang]) for lang in set(langs.tolist())})
-        out = [b for batch in left.select(["doc_id", "lang", "text"]).combine_chunks().to_batches() for b in _score(scorer, batch)]
-        return pa.Table.from_batches(out)
+        names = [c for c in ("row", "lang", "text") if c in left.column_names]
+        own = sorted_arrays(right)
+        return pa.Table.from_batches([b for batch in left.select(names).combine_chunks().to_batches() for b in _score(own, batch)])
+
+    scored = materialize(rows.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(together, shape), "scored")
+    discard(rows, model)
+    return scored
 
-    return rows.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(together, shape)
 
+def _scale(n_chars: Column) -> Column:
+    return F.sqrt(1 + F.lit(float(STEADY)) / F.greatest(n_chars, F.lit(1)))
 
-def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, least: float = LEAST) -> DataFrame:
-    """Rows ``lang, lower, upper``: the accepted range of ``nll`` for each language, from histograms over all documents."""
+
+def bands(scored: DataFrame) -> DataFrame:
+    """Rows ``lang, middle, deviation`` of ``nll`` for each language, from histograms over all documents."""
 
     def median(df: DataFrame, value: Column, name: str) -> DataFrame:
         h = df.where("nll IS NOT NULL").groupBy("lang", F.floor(value / BIN).alias("bin")).agg(F.count("*").alias("c"))
-        w = Window.partitionBy("lang")
+        w = Window.partitionBy("lang")  # a language's bins, not its documents
         h = h.withColumn("upto", F.sum("c").over(w.orderBy("bin"))).withColumn("all", F.sum("c").over(w))
         return h.where("2 * upto >= all").groupBy("lang").agg(((F.min("bin") + 0.5) * BIN).alias(name))
 
     middle = materialize(median(scored, F.col("nll"), "middle"), "bands")
-    spread = median(scored.join(middle, "lang"), F.abs(F.col("nll") - F.col("middle")), "spread")
-    wide = F.greatest(F.col("spread") * 1.4826, F.lit(least))
-    return middle.join(spread, "lang").select("lang", (F.col("middle") - low * wide).alias("lower"), (F.col("middle") + high * wide).alias("upper"))
-
-
-def quality_verdicts(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, **widths: float) -> DataFrame:
-    """One row per row of ``docs``: figures, ``perplexity``, ``base_failed`` and ``kept``."""
-    model = materialize(kneser_ney(materialize(ngram_counts(docs), "grams")), "model")
-    scored = materialize(score(docs, model, broadcast_grams), "scored")
-    limits = materialize(bands(scored, **widths), "limits")
+    far = F.abs(F.col("nll") - F.col("middle")) / _scale(F.col("word_chars") + F.col("n_words"))
+    spread = median(scored.join(middle, "lang"), far, "spread")
+    return middle.join(spread, "lang").select("lang", "middle", F.greatest(F.col("spread") * 1.4826, F.lit(LEAST)).alias("deviation"))
+
+
+def quality_verdicts(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, low: float = LOW, high: float = HIGH, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (its columns ``keep``), figures, ``base_failed``, ``kept``, ``perplexity`` and its band."""
+    grams = materialize(ngram_counts(docs), "grams")
+    model = materialize(kneser_ney(grams), "probabilities")
+    scored = score(docs, model, broadcast_grams, keep=keep)
+    discard(grams, model)
+    limits = materialize(bands(scored), "limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    inside = F.coalesce(F.col("nll").between(F.col("lower"), F.col("upper")), F.lit(False))
+    wide = F.col("deviation") * _scale(F.col("word_chars") + F.col("n_words"))
+    lower, upper = F.col("middle") - low * wide, F.col("middle") + high * wide
+    inside = F.coalesce(F.col("nll").between(lower, upper), F.lit(False))
     return scored.join(limits, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp("nll").alias("perplexity"), "nll", "lower", "upper",
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & inside).alias("kept"), F.round(F.exp("nll"), 6).alias("perplexity"), "nll", lower.alias("lower"), upper.alias("upper"),
     )
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.drop("nll", "lower", "upper")
+    return rows.select("row.doc_id", *[c for c in rows.columns if c not in ("row", "nll", "lower", "upper")])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, unchanged.
 
-    Rows are matched by id and text hash, so of rows that share an id each gets its own verdict.
+    Rows travel with their figures, so each row gets its own verdict and no join by id is needed.
     """
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "lang", "text")
-    kept = quality_verdicts(keyed).where("kept").select(F.col("doc_id.doc_id").alias("k"), F.col("doc_id.h").alias("h")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k"]) & (F.xxhash64(docs["text"]) == kept["h"]), "left_semi")
+    return quality_verdicts(docs, keep=docs.columns).where("kept").select("row.*")
