@@ -109,11 +109,11 @@ class Featurizer:
 
     @staticmethod
     def parse_pairs(indices, indices2=None) -> Array:
-        """Index pairs as they are, all pairs of one set, or the product of two sets."""
+        """Index pairs as they are, all pairs of one set, or each of one set with each that only the second set has."""
         a = np.asarray(indices, int)
         if indices2 is not None:
-            b = np.asarray(indices2, int)
-            return np.array([(i, j) for i in np.unique(a) for j in np.unique(b) if i != j], int).reshape(-1, 2)
+            b = np.setdiff1d(np.asarray(indices2, int), a)
+            return np.array([(i, j) for i in np.unique(a) for j in b], int).reshape(-1, 2)
         if a.ndim == 2:
             if a.shape[1] != 2:
                 raise ValueError("pairs have two indices")

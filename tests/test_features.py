@@ -52,6 +52,12 @@ def test_featurizer(spark, atoms, xyz):
     assert Featurizer(atoms).compute(xyz).shape == (6, 60)
 
 
+def test_pairs_of_two_sets():
+    assert Featurizer.parse_pairs([0, 1], [1, 2]).tolist() == [[0, 2], [1, 2]]  # atoms of the first set leave the second
+    assert Featurizer.parse_pairs([1, 0, 1], [0, 1]).tolist() == []
+    assert Featurizer.parse_pairs([2, 0, 1]).tolist() == [[0, 1], [0, 2], [1, 2]]
+
+
 def test_contacts_sql(spark, xyz):
     frames = Fr.from_arrays(spark, [xyz.reshape(6, -1)])
     pairs = [(0, 1), (3, 7)]
