@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinelake.functions.linalg import connected_sets
 from kinelake.functions.support import TimeUnit, confidence_interval
@@ -102,13 +103,17 @@ class HMSM(MSM):
 
 
 def sequences(dtrajs: DataFrame, lag: int, stride: int = 1) -> DataFrame:
-    """``seq, states``: every trajectory as its ``lag / stride`` interleaved subsequences at distance ``lag``.
+    """``traj_id, phase, states``: every trajectory as its ``lag / stride`` interleaved subsequences at distance ``lag``.
 
-    A subsequence is an array in one row; a trajectory of T frames gives arrays of about T / lag values.
+    A subsequence is cut where frames are unassigned or missing, so no two states that didn't follow each other become
+    neighbours; each piece has a ``phase`` of its own.  A piece is an array in one row, of at most T / lag values for T frames.
     """
     rows = dtrajs.where("state >= 0").withColumn("phase", F.col("t") % lag).where(F.col("phase") % stride == 0)
-    got = rows.groupBy("traj_id", "phase").agg(F.array_sort(F.collect_list(F.struct("t", "state"))).alias("p"))
-    return got.select("traj_id", "phase", F.transform("p", lambda x: x["state"]).alias("states"))
+    w = Window.partitionBy("traj_id", "phase").orderBy("t")
+    after_gap = F.coalesce((F.col("t") - F.lag("t").over(w) != lag).cast("long"), F.lit(0))
+    rows = rows.withColumn("gap", after_gap).withColumn("piece", F.sum("gap").over(w))
+    got = rows.groupBy("traj_id", "phase", "piece").agg(F.array_sort(F.collect_list(F.struct("t", "state"))).alias("p"))
+    return got.select("traj_id", (F.col("phase") + lag * F.col("piece")).alias("phase"), F.transform("p", lambda x: x["state"]).alias("states"))
 
 
 def forward_backward(p: np.ndarray, b: np.ndarray, start: np.ndarray, obs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -199,6 +199,17 @@ def test_hidden_models(spark):
     assert bayes.sample_mean("p").shape == (2, 2)
 
 
+def test_hidden_sequences_end_at_gaps(spark):
+    from kinelake.operators.hmm import sequences
+
+    frames = [(0, t, s) for t, s in enumerate([0, -1, -1, 1, 1])] + [(1, t, s) for t, s in ((0, 2), (1, 3), (5, 2), (6, 0))]
+    df = spark.createDataFrame(frames, "traj_id long, t long, state int")
+    got = sequences(df, 1).collect()
+    assert sorted(r.states for r in got) == [[0], [1, 1], [2, 0], [2, 3]]
+    assert len({(r.traj_id, r.phase) for r in got}) == len(got)
+    assert sorted(r.states for r in sequences(df, 2).collect()) == [[0], [0], [1], [1], [2], [2], [3]]
+
+
 def test_oom_and_augmented(spark):
     rng = np.random.default_rng(0)
     starts = [K.MSM(FIVE).simulate(40, int(s), seed=k) for k, s in enumerate(rng.choice(5, 300, p=[0.6, 0.1, 0.1, 0.1, 0.1]))]
