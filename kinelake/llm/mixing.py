@@ -1,7 +1,7 @@
 """Mixing sources to target weights by packed blocks and index permutations, in DataFrame functions only.
 
 1. Every source's documents are laid end to end in a fixed pseudorandom order and cut into blocks of
-   ``block`` words (prefix sums over small chunks of a source, then over the chunks).
+   ``block`` words (prefix sums over small chunks of a source, then over groups of chunks, then over the groups).
 2. Targets: weights share all sizes; a target stops at ``times`` its source's size and the excess is
    reshared by weight (water filling over the sorted sources).
 3. The mix is output shards of ``shard`` slots.  Each slot draws its source from the targets, so a shard's
@@ -11,7 +11,9 @@
    ``j div blocks``, with a new pseudorandom permutation for each source and pass (swap-or-not rounds,
    which permute any range of numbers exactly).  Blocks join documents by index.
 
-No step puts one source into one task: chunks, shards and blocks are the units that are dealt out.
+No step puts one source's documents, shards or blocks into one task: documents meet by chunk, shards by ``GROUP`` neighbours,
+blocks by number.  One task sees a row for each ``GROUP`` chunks or shards of a source (half a million documents,
+or 67 million words), and ``source_table`` one for each source.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; null sources form one source,
 last in order; a source without words has target 0; repeated rows are rows of their own; extra columns
@@ -31,6 +33,8 @@ TIMES = 3
 BLOCK = 64
 SHARD = 1024
 CHUNK = 512
+#: Chunks or shards that a prefix sum goes through at once.
+GROUP = 1024
 SEED = 20240229
 ROUNDS = 18
 #: Pieces of the draw range that the sources' ranges are filed under.
@@ -50,6 +54,19 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
     return F.reduce(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("long"), one)
 
 
+def prefix_sums(rows: DataFrame, value: str, unit: str, *by: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over smaller ``unit`` of the same ``by``; units are distinct there.
+
+    Sums run over ``GROUP`` neighbouring units, and over the groups' totals.
+    """
+    rows = rows.withColumn("group", F.floor(F.col(unit) / GROUP))
+    earlier = lambda unit, *by: Window.partitionBy(*by).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "group").agg(F.sum(value).alias("of_group"))
+    totals = totals.withColumn("start", F.coalesce(F.sum("of_group").over(earlier("group", *by)), F.lit(0))).drop("of_group")
+    inside = F.coalesce(F.sum(value).over(earlier(unit, *by, "group")), F.lit(0))
+    return rows.join(totals, [*by, "group"]).withColumn("before", F.col("start") + inside).drop("group", "start")
+
+
 def source_table(sizes: DataFrame, weights=WEIGHTS, times: int = TIMES, block: int = BLOCK) -> DataFrame:
     """One row per source: index, size, documents, weight, target, blocks, quota of slots, and its range of draws."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -91,20 +108,19 @@ def slot_table(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     drawn = drawn.join(ranges, (drawn["piece"] == ranges["piece"]) & (F.col("u") >= F.col("draw_start")) & (F.col("u") < F.col("draw_end")))
     counts = materialize(drawn.groupBy("shard", "s").agg(F.count("*").alias("m")), "mix-draws")
     # Meet the quotas: a source's draws count up to its quota, the rest goes to sources that fell short.
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     quotas = sources.where("quota > 0").select("s", "quota")
-    held = counts.join(quotas, "s").withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    held = held.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("m"), F.col("quota") - F.col("before"))))
+    held = prefix_sums(counts, "m", "shard", "s").join(quotas, "s")
+    held = materialize(held.select("shard", "s", "m", F.greatest(F.lit(0), F.least(F.col("m"), F.col("quota") - F.col("before"))).alias("kept")), "mix-held")
     spare = held.groupBy("shard").agg(F.sum(F.col("m") - F.col("kept")).alias("spare")).where("spare > 0")
-    spare = spare.withColumn("start", F.sum("spare").over(Window.orderBy("shard")) - F.col("spare"))
-    spare = spare.select("shard", F.explode(F.sequence("start", F.col("start") + F.col("spare") - 1)).alias("e"))
+    spare = prefix_sums(spare, "spare", "shard").repartition(parts, "shard")
+    spare = spare.select("shard", F.explode(F.sequence("before", F.col("before") + F.col("spare") - 1)).alias("e"))
     short = quotas.join(held.groupBy("s").agg(F.sum("kept").alias("kept")), "s", "left").withColumn("short", F.col("quota") - F.coalesce("kept", F.lit(0))).where("short > 0")
-    short = short.withColumn("start", F.sum("short").over(Window.orderBy("s")) - F.col("short"))
+    short = short.withColumn("start", F.sum("short").over(Window.orderBy("s")) - F.col("short"))  # a row for each source
     short = short.select("s", F.explode(F.sequence("start", F.col("start") + F.col("short") - 1)).alias("e"))
     moved = spare.join(short, "e").groupBy("shard", "s").agg(F.count("*").alias("m"))
     final = held.select("shard", "s", F.col("kept").alias("m")).unionByName(moved.select("shard", "s", "m")).groupBy("shard", "s").agg(F.sum("m").alias("m")).where("m > 0")
-    final = final.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    numbered = final.join(sources.select("s", "blocks"), "s").select("shard", "s", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("m") - 1)).alias("j"))
+    final = prefix_sums(final, "m", "shard", "s").join(sources.select("s", "blocks"), "s").repartition(parts, "shard", "s")  # few bytes here, many rows from here on
+    numbered = final.select("shard", "s", "blocks", F.explode(F.sequence("before", F.col("before") + F.col("m") - 1)).alias("j"))
     numbered = numbered.withColumn("pass", F.floor(F.col("j") / F.col("blocks")))
     return numbered.select("shard", "s", "j", "pass", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("s"), F.col("pass")).alias("block"))
 
@@ -118,10 +134,8 @@ def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.ceil(F.col("n_docs") / CHUNK)))
     inside = Window.partitionBy("s", "chunk").orderBy("doc_id", "text_hash", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    chunks = docs.groupBy("s", "chunk").agg(F.sum("size").alias("chunk_size"))
-    earlier = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0))).drop("chunk_size")
-    return docs.join(chunks, ["s", "chunk"]).withColumn("offset", F.col("chunk_start") + F.col("inside")).drop("chunk", "inside", "chunk_start", "n_docs")
+    chunks = prefix_sums(docs.groupBy("s", "chunk").agg(F.sum("size").alias("chunk_size")), "chunk_size", "chunk", "s").drop("chunk_size")
+    return docs.join(chunks, ["s", "chunk"]).withColumn("offset", F.col("before") + F.col("inside")).drop("chunk", "inside", "before", "n_docs")
 
 
 def with_sizes(docs: DataFrame, *keep: Column) -> DataFrame:
