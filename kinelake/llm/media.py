@@ -8,10 +8,14 @@ references; positions are carried through it, so a sequence is put together agai
 The media table stores payloads as 8-bit greyscale PNG images 64 samples wide, whose reader checks every
 chunk's CRC.  What a query needs of a payload is computed where the stored bytes are read back, so the
 join moves digests and figures, not payloads; it is a join on distinct digests, whose skew adaptive
-execution can split because both sides are exchanged for it.
+execution can split because both sides are exchanged for it; items without a reference get keys of their own in
+it, so they don't meet in one task.
 
-Defined results: null text is the empty payload (64 zero bytes); equal texts give equal values; repeated
-rows keep their rows; a reference that no stored payload answers stays in its place unresolved; null html
+Memory: a task holds an Arrow batch (4 MB, or one row where that is longer), the stored forms of some hundred rows and
+one payload; texts up to about 1 GB fit a row.
+
+Defined results: null text is the empty payload (64 zero bytes); equal texts give equal values; texts that end in NUL
+may share payload and stored form with shorter ones, but keep their own ``n_bytes``; repeated rows keep their rows; a reference that no stored payload answers stays in its place unresolved; null html
 is an empty sequence; extra columns are ignored; an empty table gives an empty one.
 """
 
@@ -164,9 +168,9 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text's payload; rows ``id, key, digest, media``, read back from the shared folder.
+    """Store every text's payload; rows ``uid, id, n_bytes, digest, media``, read back from the shared folder.
 
-    ``key`` is the SHA-256 of the text, ``digest`` that of the stored form.
+    ``uid`` tells rows apart, ``n_bytes`` is the text's length and ``digest`` the SHA-256 of the stored form.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,11 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, digest string, media binary"
-    return materialize(bounded_batches(docs).select(id_col, text_col).mapInArrow(run, shape), "media")
+    stored = bounded_batches(docs).select(id_col, text_col).mapInArrow(run, shape)
+    return materialize(stored.select(F.monotonically_increasing_id().alias("uid"), "*"), "media")
+
+
+FIGURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -190,25 +198,26 @@ def read_media(media: DataFrame) -> DataFrame:
         done: set[str] = set()
         for batch in batches:
             rows = []
-            for digest, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for digest, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if digest in done:
                     continue
                 if len(done) < 100_000:  # only saves work; the distinct below is what counts
                     done.add(digest)
                 p = from_png(data)
-                rows.append((digest, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(p)))
+                rows.append((digest, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(p)))
             if rows:
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["digest", *[x.split()[0] for x in FIGURES.split(", ")]])
 
-    shape = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return bounded_batches(media).select("digest", "n_bytes", "media").mapInArrow(run, shape).dropDuplicates(["digest"])
+    return bounded_batches(media).select("digest", "media").mapInArrow(run, f"digest string, {FIGURES}").dropDuplicates(["digest"])
 
 
 def resolve(seqs: DataFrame, figures: DataFrame, scheme: str = "media:") -> DataFrame:
     """Join the references of ``seqs`` by digest; rows ``id, pos, kind, text, caption, digest`` and ``figures``' columns."""
     flat = seqs.select("id", F.explode("items").alias("i")).select("id", "i.pos", "i.kind", "i.text", "i.caption", F.when(F.startswith("i.ref", F.lit(scheme)), F.substr("i.ref", F.lit(len(scheme) + 1))).alias("digest"))
-    return flat.join(figures, "digest", "left")
+    own = F.concat(F.lit("none:"), F.xxhash64("id", "pos").cast("string"))
+    flat, known = flat.withColumn("answered", F.coalesce("digest", own)), figures.withColumnRenamed("digest", "answered")
+    return flat.join(known, "answered", "left").drop("answered")
 
 
 def aligned(resolved: DataFrame) -> DataFrame:
@@ -217,10 +226,17 @@ def aligned(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("items"))
 
 
+def gallery(media: DataFrame) -> DataFrame:
+    """Rows ``id`` (struct ``uid, doc_id, n_bytes``), ``html``: for each stored text a page of a heading, its figure and a closing line."""
+    size = F.concat(F.col("n_bytes").cast("string"), F.lit(" bytes"))
+    html = F.concat(F.lit('<article><h1>stored text</h1><figure><img src="media:'), F.col("digest"), F.lit('" alt="payload"><figcaption>'), size, F.lit("</figcaption></figure><p>end of "), size, F.lit("</p></article>"))
+    return media.select(F.struct("uid", F.col("id").alias("doc_id"), "n_bytes").alias("id"), html.alias("html"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    html = F.concat(F.lit('<figure><img src="media:'), F.col("digest"), F.lit('" alt=""><figcaption>'), name, F.lit("</figcaption></figure>"))
     figures = materialize(read_media(media), "media-figures")
-    rows = resolve(sequences(media.select("id", html.alias("html")), "id"), figures).where("kind = 'media'")
-    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
+    pages = aligned(resolve(sequences(gallery(media), "id"), figures))
+    item = F.filter("items", lambda i: i["kind"] == "media")[0]
+    rows = pages.select("id.doc_id", "id.n_bytes", item.alias("m"), F.size("items").cast("long").alias("n_items"))
+    return rows.select("doc_id", "n_bytes", *[f"m.{x.split()[0]}" for x in FIGURES.split(", ")], F.col("m.pos").cast("long").alias("pos"), "m.caption", "n_items")
