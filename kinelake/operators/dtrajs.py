@@ -66,7 +66,7 @@ def bootstrap_counts(by_traj: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
     A draw is a hash of sample and trajectory, so reruns agree and trajectories need not be gathered.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "sample", "traj_id"), F.lit(1 << 40)) / float(1 << 40)
+    u = _random_key(seed, "sample", "traj_id") / float(1 << 60)
     edges = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 12)]))
     weight = sum(F.when(u >= float(e), 1).otherwise(0) for e in edges)
     rows = by_traj.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight).where("w > 0")
@@ -202,18 +202,24 @@ def state_index(dtrajs: DataFrame, subset: Sequence[int] | None = None) -> DataF
     return ranked.select("state", "traj_id", "t", (F.col("r") + F.col("before")).cast("bigint").alias("rank"))
 
 
-def _random_key(seed: int):
-    return F.xxhash64(F.lit(seed), "state", "traj_id", "t")
+def _random_key(seed: int, *key: str):
+    """A whole number from 0 below 2**60 that ``seed`` and ``key`` decide: the first 15 hex digits of an MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def sample_by_state(index: DataFrame, n: int, replace: bool = True, seed: int = 42) -> DataFrame:
-    """``state, draw, traj_id, t``: ``n`` frames of each state; without replacement at most all of them."""
+    """``state, draw, traj_id, t``: ``n`` frames of each state; without replacement at most all of them.
+
+    Without replacement the frames of least hash are taken: a filter on the rank itself, so every task passes on ``n`` at most.
+    """
     if not replace:
-        w = Window.partitionBy("state").orderBy(_random_key(seed))
-        return index.withColumn("draw", F.row_number().over(w) - 1).where(F.col("draw") < n).select("state", "draw", "traj_id", "t")
+        w = Window.partitionBy("state").orderBy(_random_key(seed, "state", "traj_id", "t"))
+        ranked = index.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+        return ranked.select("state", (F.col("r") - 1).alias("draw"), "traj_id", "t")
     sizes = index.groupBy("state").agg(F.count("*").alias("size"))
     draws = sizes.select("state", "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    draws = draws.withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), "state", "draw"), "size"))
+    draws = draws.withColumn("rank", F.pmod(_random_key(seed, "state", "draw"), "size"))
     return draws.join(index, ["state", "rank"]).select("state", "draw", "traj_id", "t")
 
 
@@ -221,7 +227,7 @@ def sample_by_sequence(index: DataFrame, sequence: Sequence[int], seed: int = 42
     """``pos, state, traj_id, t``: a random frame for each element of a sequence of states."""
     seq = index.sparkSession.createDataFrame([(k, int(s)) for k, s in enumerate(sequence)], "pos int, state int")
     sizes = index.groupBy("state").agg(F.count("*").alias("size"))
-    want = seq.join(sizes, "state").withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), "pos"), "size"))
+    want = seq.join(sizes, "state").withColumn("rank", F.pmod(_random_key(seed, "pos"), "size"))
     return want.join(index, ["state", "rank"]).select("pos", "state", "traj_id", "t")
 
 

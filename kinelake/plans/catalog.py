@@ -624,3 +624,6 @@ def conversation_role_counts(spark, d):
     roles = sorted(r[0] for r in c.select("role").distinct().collect())
     rows = c.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("t"), (F.array_position(F.array(*map(F.lit, roles)), F.col("role")) - 1).cast("int").alias("state"))
     return D.transition_counts(rows, 1)
+
+
+from kinelake.plans import model_catalog  # noqa: E402, F401  registers its queries here
