@@ -25,7 +25,6 @@ from kinelake.operators import thermo as T
 from kinelake.operators.amm import state_expectations
 from kinelake.operators.hmm import HMSMEstimator
 from kinelake.operators.oom import OOMEstimator
-from kinelake.operators.tpt import ReactiveFlux
 from kinelake.session import table
 from kinelake.sources import frames as Fr
 
@@ -234,31 +233,6 @@ def state_means(spark, d):
     return D.state_means(states(spark, d), values(spark, d)).withColumn("mean", rounded("mean", 6))
 
 
-@register(None)
-def sample_by_state(spark, d):
-    return D.sample_by_state(D.state_index(states(spark, d)), 10)
-
-
-@register(None)
-def sample_by_state_without_replacement(spark, d):
-    return D.sample_by_state(D.state_index(states(spark, d)), 10, replace=False)
-
-
-@register(None)
-def sample_by_sequence(spark, d):
-    return D.sample_by_sequence(D.state_index(states(spark, d)), [0, 1, 2, 3, 4, 4, 3, 2, 1, 0])
-
-
-@register(None)
-def sample_by_distributions(spark, d):
-    return D.sample_by_distributions(D.state_index(states(spark, d)), [np.array([0.5, 0.5, 0, 0, 0]), np.full(5, 0.2)], 20)
-
-
-@register(None)
-def bootstrap_counts(spark, d):
-    return D.bootstrap_counts(D.counts_by_trajectory(states(spark, d), 1), 10)
-
-
 # Frames
 
 
@@ -460,13 +434,6 @@ def wham_one_step(spark, d):
     return long_table(spark, [(i, float(v)) for i, v in enumerate(f)], "i int, f double").withColumn("f", rounded("f", 7))
 
 
-@register(None)
-def wham_energies(spark, d):
-    s = samples(spark, d)
-    m = T.estimate(s, "wham", maxiter=2000, maxerr=1e-12)
-    return long_table(spark, [(i, float(v)) for i, v in enumerate(m.f)], "i int, f double")
-
-
 @register(None)
 def mbar_energies(spark, d):
     m = T.mbar(samples(spark, d))
@@ -506,12 +473,6 @@ def vamp_projection(spark, d):
     return L.VAMP(lag=1, dim=2).fit(f).transform(f)
 
 
-@register(None)
-def koopman_weights(spark, d):
-    f = value_frames(spark, d)
-    return L.Koopman(1).fit(f).weights(f).select("traj_id", "t", "w")
-
-
 @register(None)
 def nystroem_tica(spark, d):
     m = L.NystroemTICA(1, 4, initial_columns=[0]).fit(embeddings(spark, d))
@@ -540,12 +501,6 @@ def _msm(spark, d, lag: int = 1) -> K.MSMEstimator:
     return K.MSMEstimator(lag).fit(states(spark, d))
 
 
-@register(None)
-def msm_reversible(spark, d):
-    e = _msm(spark, d)
-    return long_table(spark, [(int(e.active[i]), int(e.active[j]), float(e.model.p[i, j])) for i in range(e.model.nstates) for j in range(e.model.nstates)], "i int, j int, p double")
-
-
 @register(f"""WITH c AS ({_counts_sql(1)}), s AS (SELECT i, j, n FROM c UNION ALL SELECT j AS i, i AS j, n FROM c)
 SELECT i, round(CAST(sum(n) AS DOUBLE) / (SELECT sum(n) FROM s), 9) AS p FROM s GROUP BY 1""")
 def symmetrized_stationary(spark, d):
@@ -579,11 +534,6 @@ def pcca_memberships(spark, d):
     return long_table(spark, [(int(e.active[i]), k, float(m[i, k])) for i in range(len(m)) for k in range(2)], "state int, k int, membership double")
 
 
-@register(None)
-def reactive_flux(spark, d):
-    return ReactiveFlux(_msm(spark, d).model, [0], [4]).edges(spark)
-
-
 @register(None)
 def hidden_msm(spark, d):
     e = HMSMEstimator(2, 1).fit(states(spark, d))
@@ -626,4 +576,4 @@ def conversation_role_counts(spark, d):
     return D.transition_counts(rows, 1)
 
 
-from kinelake.plans import model_catalog  # noqa: E402, F401  registers its queries here
+from kinelake.plans import frame_catalog, model_catalog  # noqa: E402, F401  registers its queries here
