@@ -55,12 +55,19 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def entries() -> dict[str, Entry]:
+    """All queries; importing the other catalogues, which use this one, puts theirs here too."""
+    from kinelake.plans import frame_catalog, model_catalog  # noqa: F401
+
+    return _all
+
+
 def queries() -> dict[str, Query]:
-    return {name: e.query for name, e in _all.items()}
+    return {name: e.query for name, e in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: e.sql for name, e in _all.items() if e.sql}
+    return {name: e.sql for name, e in entries().items() if e.sql}
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -574,6 +581,3 @@ def conversation_role_counts(spark, d):
     roles = sorted(r[0] for r in c.select("role").distinct().collect())
     rows = c.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("t"), (F.array_position(F.array(*map(F.lit, roles)), F.col("role")) - 1).cast("int").alias("state"))
     return D.transition_counts(rows, 1)
-
-
-from kinelake.plans import frame_catalog, model_catalog  # noqa: E402, F401  registers its queries here
