@@ -188,18 +188,23 @@ def ensemble_state_counts(dtrajs: DataFrame) -> DataFrame:
 # Frames by state
 
 
-def state_index(dtrajs: DataFrame, subset: Sequence[int] | None = None) -> DataFrame:
+def state_index(dtrajs: DataFrame, subset: Sequence[int] | None = None, block: int = BLOCK) -> DataFrame:
     """``state, traj_id, t, rank``: the frames of each state in order; a row for each frame, so no state is gathered.
 
-    The rank is found in two levels: inside (state, trajectory), then over the trajectories of a state.
+    The rank is found in three levels: inside (state, trajectory, block of frames), then over a trajectory's blocks, then over
+    the trajectories of a state, so one long trajectory is many tasks.
     """
     rows = dtrajs.where("state >= 0") if subset is None else dtrajs.where(F.col("state").isin([int(s) for s in subset]))
-    per = rows.groupBy("state", "traj_id").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("state").orderBy("traj_id").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("state", "traj_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("state", "traj_id").orderBy("t")
-    ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(per, ["state", "traj_id"])
-    return ranked.select("state", "traj_id", "t", (F.col("r") + F.col("before")).cast("bigint").alias("rank"))
+    rows = rows.withColumn("block", F.floor(F.col("t") / block))
+    per = rows.groupBy("state", "traj_id", "block").agg(F.count("*").alias("n"))
+    of_traj = per.groupBy("state", "traj_id").agg(F.sum("n").alias("m"))
+    earlier = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    of_traj = of_traj.select("state", "traj_id", F.coalesce(F.sum("m").over(earlier("traj_id", "state")), F.lit(0)).alias("of_traj"))
+    of_block = F.coalesce(F.sum("n").over(earlier("block", "state", "traj_id")), F.lit(0))
+    per = per.select("state", "traj_id", "block", of_block.alias("of_block")).join(of_traj, ["state", "traj_id"])
+    inside = Window.partitionBy("state", "traj_id", "block").orderBy("t")
+    ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(per, ["state", "traj_id", "block"])
+    return ranked.select("state", "traj_id", "t", (F.col("r") + F.col("of_block") + F.col("of_traj")).cast("bigint").alias("rank"))
 
 
 def _random_key(seed: int, *key: str):
