@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 FRAMES = "traj_id int, t bigint, x array<double>"
 DTRAJS = "traj_id int, t bigint, state int"
+#: Rows up to which a table of files is broadcast (about 200 bytes each).
+BROADCAST_ROWS = 100_000
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -211,7 +213,8 @@ def _file_table(spark: SparkSession, paths: list[str]) -> DataFrame:
     else:
         name = F.regexp_extract("path", "[^/]*$", 0)
     files = spark.read.format("binaryFile").load(paths)
-    return files.withColumn("name", name).join(F.broadcast(order), "name").select("traj_id", "content")
+    order = F.broadcast(order) if len(paths) <= BROADCAST_ROWS else order
+    return files.withColumn("name", name).join(order, "name").select("traj_id", "content")
 
 
 def sniff_csv(head: str, comment: str = "#") -> tuple[str | None, int]:
@@ -271,7 +274,7 @@ def read_npz(spark: SparkSession, files: str | Sequence[str]) -> DataFrame:
 
     rows = _file_table(spark, paths).withColumn("traj_id", F.col("traj_id") * many).mapInArrow(_each_file(parse), FRAMES)
     ids = rows.select("traj_id").distinct().withColumn("new", F.row_number().over(Window.orderBy("traj_id")) - 1)
-    return rows.join(F.broadcast(ids), "traj_id").select(F.col("new").alias("traj_id"), "t", "x")
+    return rows.join(ids, "traj_id").select(F.col("new").alias("traj_id"), "t", "x")
 
 
 def read_hdf5(spark: SparkSession, files: str | Sequence[str], selection: str = "/*") -> DataFrame:
