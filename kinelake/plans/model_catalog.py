@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.features import Featurizer
+from kinelake.operators import clustering as C
 from kinelake.operators import decomposition as L
 from kinelake.operators import dtrajs as D
 from kinelake.operators import msm as K
 from kinelake.operators import thermo as T
 from kinelake.operators.tpt import ReactiveFlux
-from kinelake.plans.catalog import F_SQL, S_SQL, events, long_table, register, rounded, samples, states, value_frames
+from kinelake.plans.catalog import CENTERS, F_SQL, S_SQL, events, long_table, register, rounded, samples, states, value_frames
 from kinelake.session import table
 
 # Markov models: counts at lag 1, the non-reversible matrix, and the reversible one by the fixed point
@@ -480,3 +481,15 @@ def first_times_two(x: np.ndarray) -> np.ndarray:
 @register(_features_sql(*[f"2 * {c}" for c in _atom(0)]))
 def feature_custom(spark, d):
     return _featured(spark, d, Featurizer(ATOMS).add_custom_func(first_times_two, 3))
+
+
+# Lloyd's steps from given centres
+
+
+@register(f"""WITH RECURSIVE {F_SQL}, w(step, c, x) AS (SELECT * FROM (VALUES {', '.join(f'(0, {i}, CAST({v} AS DOUBLE))' for i, v in enumerate(CENTERS))}) UNION ALL
+  SELECT step + 1, c, avg(v) FROM (SELECT w.step, f.traj_id, f.t, f.v, arg_min(w.c, abs(f.v - w.x)) AS c FROM w, f WHERE w.step < 6 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)
+SELECT CAST(c AS INTEGER) AS c, round(x, 7) AS center FROM w WHERE step = 6""")
+def kmeans_resumed(spark, d):
+    """Six iterations from given centres."""
+    m = C.KMeans(max_iter=6, tolerance=0, centers=np.array(CENTERS)[:, None]).fit(value_frames(spark, d))
+    return long_table(spark, [(c, float(x)) for c, x in enumerate(m.centers[:, 0])], "c int, center double").withColumn("center", rounded("center", 7))
