@@ -96,6 +96,21 @@ def kahan_sum(values) -> float:
     return total + rest
 
 
+def logsumexp_kahan(values) -> float:
+    """Log of the sum of exponentials with a compensated sum."""
+    x = np.asarray(values, float).ravel()
+    top = x.max() if len(x) else -np.inf
+    return float(top) if not np.isfinite(top) else float(top + np.log(kahan_sum(np.exp(x - top).tolist())))
+
+
+def logsumexp_sorted(values, kahan: bool = False) -> float:
+    """Log of the sum of exponentials, added from the smallest up, on request with a compensated sum."""
+    x = np.sort(np.asarray(values, float).ravel())
+    if kahan or not len(x) or not np.isfinite(x[-1]):
+        return logsumexp_kahan(x)
+    return float(x[-1] + np.log(np.cumsum(np.exp(x - x[-1]))[-1]))
+
+
 def connected_sets(c: np.ndarray, mincount: float = 0.0, strong: bool = True) -> list[np.ndarray]:
     """Components of the graph of counts above ``mincount``, largest first (ties: smallest state first)."""
     n = len(c)

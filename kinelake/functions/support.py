@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Sequence
@@ -66,6 +67,31 @@ def bytes_to_string(n: float, suffix: str = "B") -> str:
     return f"{n:.1f}Pi{suffix}"
 
 
+def array_hash(x: np.ndarray) -> str:
+    """A digest of an array's shape, type and values."""
+    x = np.ascontiguousarray(x)
+    return hashlib.blake2b(x.tobytes(), digest_size=16, key=f"{x.shape}{x.dtype.str}".encode()[:64]).hexdigest()
+
+
+def n_chunks(length: int, chunk: int, stride: int = 1, skip: int = 0) -> int:
+    """Chunks of ``chunk`` frames that hold a trajectory after stride and skip; a chunk of 0 is the whole trajectory."""
+    left = max(0, -(-(length - skip) // stride))
+    return -(-left // chunk) if chunk else int(left > 0)
+
+
+def register_lag_times(spark, name: str = "lag_times") -> None:
+    """A SQL table function ``lag_times(maxlag, multiplier)``: rows ``lag`` of :func:`generate_lags`."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="lag: int")
+    class LagTimes:
+        def eval(self, maxlag: int, multiplier: float):
+            for lag in generate_lags(maxlag, float(multiplier)):
+                yield (int(lag),)
+
+    spark.udtf.register(name, LagTimes)
+
+
 def combinations(seq, k: int) -> np.ndarray:
     return np.array(list(itertools.combinations(seq, k)))
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.operators.base import Estimator
 from kinelake.operators.moments import _matrix
 from kinelake.sources.frames import linear, strided
 
@@ -170,7 +171,7 @@ def seed_centers(frames: DataFrame, k: int, strategy: str = "kmeans++", seed: in
 
 
 @dataclass
-class KMeans:
+class KMeans(Estimator):
     """Lloyd's algorithm: one pass and ``k`` sums for each iteration; resumes from given centres."""
 
     k: int | None = None
@@ -207,7 +208,7 @@ class KMeans:
 
 
 @dataclass
-class MiniBatchKMeans:
+class MiniBatchKMeans(Estimator):
     """k-means on a share of each trajectory's frames, drawn anew without replacement for each iteration."""
 
     k: int = 100
@@ -246,7 +247,7 @@ class MiniBatchKMeans:
 
 
 @dataclass
-class RegularSpace:
+class RegularSpace(Estimator):
     """Centres at least ``dmin`` apart such that every frame is within ``dmin`` of one.
 
     Every task keeps the frames that none of its earlier ones covers; the survivors, at most ``max_centers`` from a
@@ -302,7 +303,7 @@ class RegularSpace:
 
 
 @dataclass
-class UniformTime:
+class UniformTime(Estimator):
     """``k`` frames evenly spaced on the concatenated time axis."""
 
     k: int = 2
@@ -328,7 +329,7 @@ def uniform_time_frames(frames: DataFrame, k: int) -> DataFrame:
 
 
 @dataclass
-class AssignCenters:
+class AssignCenters(Estimator):
     """Assignment to centres given as an array, or as rows of a text or ``.npy`` file."""
 
     centers: np.ndarray | str

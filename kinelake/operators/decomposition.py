@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from kinelake.functions.linalg import eig_corr, spd_eig, spd_inv_sqrt, spd_inv_split
 from kinelake.functions.support import vamp_score
-from kinelake.operators.moments import Moments, _matrix, moments_lagged, moments_xx, pair_moments
+from kinelake.operators.base import Estimator
 from kinelake.operators.lag import lagged_pairs
+from kinelake.operators.moments import Moments, _matrix, moments_lagged, moments_xx, pair_moments
 
 
 def map_frames(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: str = "x") -> DataFrame:
@@ -41,7 +42,7 @@ def dimension_by_variance(cumulative: np.ndarray, cutoff: float) -> int:
 
 
 @dataclass
-class PCA:
+class PCA(Estimator):
     dim: int = -1
     var_cutoff: float = 0.95
     mean: np.ndarray | None = None
@@ -86,7 +87,7 @@ class PCA:
 
 
 @dataclass
-class Koopman:
+class Koopman(Estimator):
     """Equilibrium weights of frames from the Koopman operator's left fixed function: ``w(x) = x . u + u_const``."""
 
     lag: int
@@ -121,7 +122,7 @@ class Koopman:
 
 
 @dataclass
-class TICA:
+class TICA(Estimator):
     """Slow linear combinations: maximal autocorrelation at ``lag``.
 
     ``kinetic_map`` scales by eigenvalues, ``commute_map`` by timescales; non-reversible models can have complex
@@ -209,7 +210,7 @@ class TICA:
 
 
 @dataclass
-class VAMP:
+class VAMP(Estimator):
     """Singular functions of the Koopman operator between ``t`` and ``t + lag``."""
 
     lag: int = 10
@@ -308,7 +309,7 @@ def oasis_errors(c_k: np.ndarray, columns: Sequence[int], diagonal: np.ndarray)
 
 
 @dataclass
-class NystroemTICA:
+class NystroemTICA(Estimator):
     """TICA on columns of the covariances, chosen greedily where their Nystroem approximation errs most."""
 
     lag: int

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from kinelake.functions.linalg import connected_sets
 from kinelake.functions.support import TimeUnit, confidence_interval
 from kinelake.operators import dtrajs as D
+from kinelake.operators.base import Estimator, Sampled
 from kinelake.operators.msm import MSM, MSMEstimator, sample_nonreversible, sample_reversible, transition_matrix
 
 
@@ -186,7 +187,7 @@ def _task_pass(seqs: DataFrame, p: np.ndarray, b: np.ndarray, start: np.ndarray,
 
 
 @dataclass
-class HMSMEstimator:
+class HMSMEstimator(Estimator):
     """Baum-Welch estimation, started from the metastable sets of a Markov model."""
 
     nstates: int = 2
@@ -266,7 +267,7 @@ class HMSMEstimator:
 
 
 @dataclass
-class BayesianHMSM:
+class BayesianHMSM(Estimator, Sampled):
     """Gibbs samples: hidden paths are drawn where the trajectories are, matrices on the driver."""
 
     nstates: int = 2
@@ -308,20 +309,6 @@ class BayesianHMSM:
             seqs.unpersist()
         return self
 
-    def sample_f(self, f, *args) -> np.ndarray:
-        call = (lambda m: getattr(m, f)) if isinstance(f, str) else f
-        got = [call(m) for m in self.models]
-        return np.array([g(*args) if callable(g) else g for g in got])
-
-    def sample_mean(self, f, *args):
-        return self.sample_f(f, *args).mean(0)
-
-    def sample_std(self, f, *args):
-        return self.sample_f(f, *args).std(0)
-
-    def sample_conf(self, f, *args):
-        return confidence_interval(self.sample_f(f, *args), self.conf)
-
 
 def timescales_hmsm(dtrajs: DataFrame, nstates: int, lags: Sequence[int], **options) -> list[tuple[int, np.ndarray]]:
     """``(lag, timescales)`` of hidden models; lags at which estimation fails are dropped."""

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.operators.base import Estimator
 from kinelake.operators.lag import BLOCK, lagged_pairs
 
 FAN = 64
@@ -155,7 +156,7 @@ def moments_lagged(frames: DataFrame, lag: int, symmetrize: bool = False, stride
 
 
 @dataclass
-class LaggedCovariance:
+class LaggedCovariance(Estimator):
     """C00, C0t, Ctt and means of frames and their lagged partners.
 
     ``remove`` is ``"none"``, ``"data"`` (the sample means) or an array (a constant mean); ``reversible`` symmetrises;

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from kinelake.functions.linalg import connected_sets, spd_inv_sqrt, stationary
 from kinelake.functions.support import TimeUnit, confidence_interval, generate_lags, vamp_score
 from kinelake.operators import dtrajs as D
+from kinelake.operators.base import Estimator, Sampled
 
 # Estimation of transition matrices
 
@@ -384,7 +385,7 @@ def _crisp(v: np.ndarray, rot: np.ndarray, steps: int = 400) -> np.ndarray:
 
 
 @dataclass
-class MSMEstimator:
+class MSMEstimator(Estimator):
     """From discrete trajectories to a model: core sets, counts at ``lag``, connected set, transition matrix."""
 
     lag: int = 1
@@ -547,7 +548,7 @@ def estimate_markov_model(dtrajs: DataFrame, lag: int, weights: str = "empirical
 
 
 @dataclass
-class ImpliedTimescales:
+class ImpliedTimescales(Estimator):
     """Timescales over lags; one pass counts all lags, and lags at which estimation fails are dropped."""
 
     lags: Sequence[int] | int | None = None
@@ -603,7 +604,7 @@ def timescales_msm(dtrajs: DataFrame, lags=None, **options) -> ImpliedTimescales
 
 
 @dataclass
-class BayesianMSM:
+class BayesianMSM(Estimator, Sampled):
     """Posterior samples of transition matrices around the maximum-likelihood model."""
 
     lag: int = 1
@@ -637,20 +638,6 @@ class BayesianMSM:
             self.models.append(MSM(p, None, self.reversible or None, e.model.dt, e.active, e.model.n_full))
         return self
 
-    def sample_f(self, f: str | Callable, *args) -> np.ndarray:
-        call = (lambda m: getattr(m, f)) if isinstance(f, str) else f
-        got = [call(m) for m in self.models]
-        return np.array([g(*args) if callable(g) else g for g in got])
-
-    def sample_mean(self, f, *args) -> np.ndarray:
-        return self.sample_f(f, *args).mean(0)
-
-    def sample_std(self, f, *args) -> np.ndarray:
-        return self.sample_f(f, *args).std(0)
-
-    def sample_conf(self, f, *args) -> tuple[np.ndarray, np.ndarray]:
-        return confidence_interval(self.sample_f(f, *args), self.conf)
-
     def table(self, spark) -> DataFrame:
         rows = [(k, i, j, float(m.p[i, j])) for k, m in enumerate(self.models) for i, j in np.argwhere(m.p > 0).tolist()]
         return spark.createDataFrame(rows, "sample int, i int, j int, p double")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions.support import register_lag_times
 from kinelake.operators import clustering as C
 from kinelake.operators import decomposition as L
 from kinelake.operators import dtrajs as D
@@ -104,6 +105,29 @@ def active_count_fraction(spark, d):
     return long_table(spark, [(D.active_count_fraction(states(spark, d), (0, 4)),)], "fraction double").select(rounded("fraction", 9).alias("fraction"))
 
 
+_STEPS = f"WITH {F_SQL}, l AS (SELECT traj_id, s AS i, lead(s, 1) OVER (PARTITION BY traj_id ORDER BY t) AS j FROM f), d AS (SELECT DISTINCT traj_id, i, j FROM l WHERE j IS NOT NULL AND traj_id IN (1, 2)) SELECT i, j FROM d WHERE traj_id = 1 {{}} SELECT i, j FROM d WHERE traj_id = 2"
+
+
+def _steps(spark, d, traj: int) -> DataFrame:
+    return D.counts_by_trajectory(states(spark, d).where(F.col("traj_id") == traj), 1).select("i", "j")
+
+
+@register(_STEPS.format("INTERSECT"))
+def common_transitions(spark, d):
+    return _steps(spark, d, 1).intersect(_steps(spark, d, 2))
+
+
+@register(_STEPS.format("EXCEPT"))
+def exclusive_transitions(spark, d):
+    return _steps(spark, d, 1).subtract(_steps(spark, d, 2))
+
+
+@register("WITH RECURSIVE r(lag) AS (SELECT 1 UNION ALL SELECT lag * 2 FROM r WHERE lag * 2 <= 100) SELECT lag FROM r UNION SELECT 100 AS lag")
+def lag_time_table(spark, d):
+    register_lag_times(spark)
+    return spark.sql("SELECT lag FROM lag_times(100, 2.0D)")
+
+
 # Statistics
 
 

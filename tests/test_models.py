@@ -265,3 +265,64 @@ def test_seeds_see_every_frame(spark):
     same = spark.createDataFrame([(0, t, [1.0]) for t in range(4)], "traj_id long, t long, x array<double>")
     assert KMeans(2).fit(same).centers.tolist() == [[1.0], [1.0]]
     frames.unpersist()
+
+
+def test_log_sums():
+    rng = np.random.default_rng(0)
+    for x in (rng.normal(0, 300, 50), np.array([1000.0, 1000.0]), np.array([-np.inf, 3.0]), np.array([-np.inf])):
+        want = A.logsumexp(x)
+        assert A.logsumexp_kahan(x) == pytest.approx(want) and A.logsumexp_sorted(x) == pytest.approx(want) and A.logsumexp_sorted(x, kahan=True) == pytest.approx(want)
+    assert A.logsumexp_kahan([]) == -np.inf == A.logsumexp_sorted([])
+
+
+def test_parameters_and_samples():
+    from kinelake.operators.base import Sampled
+
+    k = C.KMeans(3, max_iter=4)
+    assert k.get_params()["k"] == 3 and k.set_params(max_iter=7).max_iter == 7
+    with pytest.raises(ValueError):
+        k.set_params(clusters=2)
+
+    class Draws(Sampled):
+        conf = 0.95
+        models = [K.MSM(np.array([[1 - a, a], [0.5, 0.5]])) for a in (0.2, 0.3, 0.4)]
+
+    d = Draws()
+    assert d.sample_f("nstates").tolist() == [2, 2, 2]
+    assert d.sample_mean("mfpt", 0, 1) == pytest.approx(np.mean([5, 10 / 3, 2.5]))
+    assert d.sample_std(lambda m: m.p[0, 1]) == pytest.approx(np.std([0.2, 0.3, 0.4]))
+
+
+def test_hash_chunks_layout():
+    from kinelake.functions.support import array_hash, n_chunks
+    from kinelake.operators.tpt import network_layout
+
+    x = np.arange(6.0)
+    assert array_hash(x) == array_hash(x.copy()) and len({array_hash(y) for y in (x, x.reshape(2, 3), x.astype(int), x[::-1])}) == 4
+    assert [n_chunks(10, 3), n_chunks(10, 3, 2), n_chunks(10, 0), n_chunks(3, 5, 1, 4), n_chunks(10, 5, 1, 5)] == [4, 2, 1, 0, 1]
+    ring = np.eye(6)[:, [1, 2, 3, 4, 5, 0]] * 0.5 + np.eye(6)[:, [5, 0, 1, 2, 3, 4]] * 0.5
+    at = network_layout(ring)
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    assert at.min() >= 0 and at.max() <= 1 and np.mean([d[i, (i + 1) % 6] for i in range(6)]) < np.mean([d[i, (i + 3) % 6] for i in range(6)])
+
+
+def test_info_cache(spark, tmp_path):
+    from kinelake.sources.info_cache import TrajectoryInfoCache
+
+    names = [str(tmp_path / f"x{i}.npy") for i in range(3)]
+    for i, n in enumerate(names):
+        np.save(n, np.zeros((5 + i, 2 + i)))
+    reads = []
+
+    def read(session, paths):
+        reads.append(len(paths))
+        return Fr.source(session, paths)
+
+    cache = TrajectoryInfoCache(str(tmp_path / "info.db"))
+    assert cache.get(spark, names, read) == [(5, 2), (6, 3), (7, 4)] == cache.get(spark, names, read)
+    np.save(names[1], np.zeros((9, 3)))
+    assert TrajectoryInfoCache(str(tmp_path / "info.db")).get(spark, names[::-1], read) == [(7, 4), (9, 3), (5, 2)]
+    assert reads == [3, 1]
+    small = TrajectoryInfoCache(max_entries=2)
+    small.get(spark, names)
+    assert len(small) == 2
