@@ -3,15 +3,17 @@
 Writing: payload digests are SHA-1 in base32; of records with equal payloads the one with the smallest id is
 the ``response``, the others ``revisit`` it and carry no payload.  A record is one string; the text writer ends
 each with CRLF CRLF, which is just how WARC records end, so any store that Spark can write takes the archives.
+Each task numbers its archives by the bytes written so far: one holds at most ``ARCHIVE_BYTES`` and one record.
 
 Reading: tasks look through stretches of the archives for the version line and emit, for every candidate,
 its offset and the offset of its successor (header + Content-Length + CRLF CRLF).  A payload may hold the
 same version line, so a candidate proves nothing: per archive, pointer jumping from offset 0 (each round
 doubles the length of the jumps) marks what the chain reaches, and only that is kept.  A candidate whose
-header or payload is cut off by the end of its stretch is read again with a larger overlap, until none is.
 
-Memory: an archive is one value of at most ``ARCHIVE_ROWS`` records when written here; the scan hands Python
-one stretch at a time.  Archives above 2 GB are refused by the binary reader.
+header or payload is cut off by the end of its stretch is read again, alone, at the length it needs.
+
+Memory: an archive is one value of the scan, at most ``ARCHIVE_BYTES`` and a record when written here; Python gets one stretch or
+one long record at a time.  Archives of others above 2 GB are refused by the binary reader.
 
 Defined results: null html is the empty payload; a null id sorts after all others and is written as an
 empty field; rows with equal id and payload are responses together if theirs is the smallest id; extra
@@ -27,17 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import materialize, new_path
+from kinelake.llm._common import bounded_batches, discard, materialize, new_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-#: Records of one archive.
-ARCHIVE_ROWS = 4000
+#: Bytes from which an archive takes no more records.
+ARCHIVE_BYTES = 64 << 20
 STRETCH = 4 << 20
 OVERLAP = 1 << 20
+#: Archives with cut records up to which their table is broadcast (about 100 bytes each, and 16 for each such record).
+BROADCAST_FILES = 50_000
 #: Groups of equal payloads up to which their table is broadcast (about 60 bytes each).
 BROADCAST_GROUPS = 200_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -80,9 +86,26 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, archive_rows: int = ARCHIVE_ROWS, **cols: str) -> None:
+def _numbered(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        number = size = 0
+        for batch in batches:
+            archives = []
+            for n in pc.binary_length(batch.column(0)).to_pylist():
+                if size >= limit:
+                    number, size = number + 1, 0
+                size += n + 2 * len(CRLF)
+                archives.append(f"{task:06d}-{number:06d}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(archives, pa.string())], names=["record", "archive"])
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **cols: str) -> None:
     """Write one record per row of ``pages`` as archives below ``path``."""
-    warc_records(pages, **cols).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", archive_rows).option("compression", "none").text(path)
+    records = bounded_batches(warc_records(pages, **cols)).mapInArrow(_numbered(archive_bytes), "record string, archive string")
+    records.write.partitionBy("archive").option("lineSep", CRLF * 2).option("compression", "none").text(path)
 
 
 def _candidates(stretch: int) -> object:
@@ -132,14 +155,21 @@ CANDIDATE = "file string, offset long, next long, cut boolean, id string, type s
 
 def warc_candidates(spark: SparkSession, path: str, stretch: int = STRETCH, overlap: int = OVERLAP) -> DataFrame:
     """Every candidate record of the archives below ``path`` with the offset of its successor."""
-    while True:
-        files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length", "content")
-        parts = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / stretch))).alias("k"), "length", "content")
-        views = parts.select("file", (F.col("k") * stretch).alias("start"), F.col("length"), F.substring("content", (F.col("k") * stretch + 1).cast("int"), F.lit(stretch + overlap)).alias("view"))
-        found = materialize(views.mapInArrow(_candidates(stretch), CANDIDATE), "warc-candidates")
-        if found.where("cut").isEmpty():
-            return found
-        overlap *= 16  # a record is longer than the overlap: look further
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length", "content")
+    parts = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / stretch))).alias("k"), "length", "content")
+    views = parts.select("file", (F.col("k") * stretch).alias("start"), F.col("length"), F.substring("content", (F.col("k") * stretch + 1).cast("int"), F.lit(stretch + overlap)).alias("view"))
+    found = materialize(views.mapInArrow(_candidates(stretch), CANDIDATE), "warc-candidates")
+    whole = found.where("NOT cut")
+    while not (cut := found.where("cut")).isEmpty():  # a record is longer than the overlap, or a header is: read these at the length they need
+        overlap *= 16
+        of_file = materialize(cut.groupBy("file").agg(F.collect_list(F.struct("offset", F.coalesce(F.col("next") - F.col("offset"), F.lit(overlap)).alias("n"))).alias("cuts")), "warc-cuts")
+        side = F.broadcast(of_file) if of_file.count() <= BROADCAST_FILES else of_file
+        again = files.join(side, "file").select("file", "length", "content", F.explode("cuts").alias("c"))
+        views = again.select("file", F.col("c.offset").alias("start"), "length", F.substring("content", (F.col("c.offset") + 1).cast("int"), F.col("c.n").cast("int")).alias("view"))
+        found = materialize(views.mapInArrow(_candidates(1), CANDIDATE), "warc-candidates")
+        discard(of_file)
+        whole = whole.unionByName(found.where("NOT cut"))
+    return whole
 
 
 def reached(offsets: np.ndarray, nexts: np.ndarray) -> np.ndarray:
