@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import materialize
+from kinelake.llm._common import discard, materialize
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +49,11 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         down = materialize(down, "large")
-        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = down.join(least, "u")
-        edges = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("u", "m")).distinct(), "small")
+        lower = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = down.join(lower, "u")
+        new = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("u", "m")).distinct(), "small")
+        discard(edges, least, down, lower)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -15,10 +15,14 @@ their sets' Jaccard similarity is at least ``percent``.
    runs give all their pairs; large runs give stars around a few of their groups.  Pairs are filtered by size and
    by the parity bitmaps of their sets (two sets differ in at least as many shingles as their bitmaps in bits),
    then verified on the whole texts, one class standing for each group and linked to the group's others.
-4. The links found contract most large runs to one component each.  For runs that still hold several, and for pairs
-   of small runs whose groups hold several classes, all pairs across components (size and bitmap filters inside the
-   join) are verified.  A link inside a component needs no check, a link across is checked: components are exact, and
-   no group's pairs are all emitted.
+4. The links found contract most large runs to one component each.  Runs that still hold so many components that their
+   pairs across outnumber their members get further rounds of stars around other leaders, contracted each time.  For runs
+   that hold several after that, and for pairs of small runs whose groups hold several classes, all pairs across
+   components (size and bitmap filters inside the join) are verified.  A link inside a component needs no check, a
+   link across is checked: components are exact, and no group's pairs are all emitted.
+
+Memory: a task holds ``CHUNK`` bytes of text with their hashes (or one longer text), or about ``RANGE`` filed shingles; the driver and
+every worker hold at most ``LISTED`` counted shingles.
 
 Defined results: null or blank text has the empty set, links with nothing and is its own component; fewer words
 than a shingle make one shingle of the whole; rows that share an id but not the text are different documents; a null
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, discard, materialize, release, text_bytes
 from kinelake.llm._hashing import mixed, powers, window_hashes, word_hashes
 from kinelake.llm.components import components
 
@@ -50,6 +54,11 @@ RANGE = 1_000_000
 #: Runs up to this size give all pairs; larger ones give stars around ``LEADERS`` groups.
 SMALL_RUN = 4
 LEADERS = 3
+#: Further rounds of stars at most, and pairs across components for each member of a run from which a round is worth its while.
+ROUNDS = 4
+WORTH = 4
+#: A round goes on only if the last left at most this share of the pairs across components.
+GAIN = 0.7
 #: Documents from which a shingle's run is too large for one task.
 HOT_RUN = 1_000_000
 #: Nodes and runs up to which a table of them is broadcast (about 30 bytes each).
@@ -402,6 +411,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _of_several(runs: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows ``run, node, comp, n, bits``: the members of the runs that hold several components."""
+    member = runs.join(named, "g").select("run", "node", "comp")
+    several = materialize(member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run"), "mixed")
+    few = F.broadcast(several) if several.count() <= BROADCAST_NODES else several
+    out = materialize(member.join(few, "run").join(sets, "node"), "members")
+    discard(several)
+    return out
+
+
+def _across(member: DataFrame) -> tuple[int, float]:
+    """How many members the runs have, and how many pairs of them lie across components."""
+    of_run = member.groupBy("run", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("run").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+    members, pairs = of_run.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
+    return int(members or 0), pairs or 0.0
+
+
+def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (``node, comp``) after adding ``links``: the components that links join are renamed, nothing else is looked at."""
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    renamed = materialize(components(met), "renamed")
+    old = comp.join(renamed.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return materialize(old.unionByName(renamed.join(comp, "node", "left_anti")), "components")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, classes, links)``.
 
@@ -422,9 +458,9 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"))
     classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "rep.doc_id", "rep.text_hash"), "classes")
     ranges = max(parts, n_bytes // 24 // RANGE + 1)
-    found = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
-    if any_hot:
-        found = found.unionByName(hot_runs(texts, order, percent))
+    candidates = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
+    found = candidates.unionByName(materialize(hot_runs(texts, order, percent), "hot-runs")) if any_hot else candidates
+    order.destroy()  # all tables that need it are written
     groups = classes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
     leads = groups.select("g", "lead")
     pairs = found.where("run IS NULL").select("a", "b").distinct()
@@ -433,15 +469,31 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     pairs = pairs.unionByName(inside)
     c = classes.select("node", "n", "bits")
     pairs = pairs.join(c.alias("l"), F.col("x") == F.col("l.node")).join(c.alias("r"), (F.col("y") == F.col("r.node")) & _may_link("l", "r", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = materialize(_verify(materialize(pairs, "pairs"), docs, classes, percent), "links")
+    pairs = materialize(pairs, "pairs")
+    links = materialize(_verify(pairs, docs, classes, percent), "links")
+    discard(pairs)
     comp = materialize(components(links), "components")
-    # Runs and pairs of groups that still hold several components: all pairs across components.
-    named = classes.select("node", "g", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Runs and pairs of groups that still hold several components: more stars, then all pairs across components.
     runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("g")).distinct().unionByName(groups.where("size > 1").select(F.col("g").alias("run"), "g"))
-    member = runs.join(named, "g").select("run", "node", "comp")
-    mixed_runs = materialize(member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run"), "mixed")
-    few = F.broadcast(mixed_runs) if mixed_runs.count() <= BROADCAST_NODES else mixed_runs
-    member = materialize(member.join(few, "run").join(c, "node"), "members")
+    runs = materialize(runs, "runs")
+    before = np.inf
+    for seed in range(ROUNDS + 1):
+        named = classes.select("node", "g", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        member = _of_several(runs, named, c)
+        n_members, n_across = _across(member)
+        if seed == ROUNDS or n_across <= WORTH * n_members or n_across > GAIN * before:
+            break  # few pairs are left, or the last round hardly took any away
+        before = n_across
+        lead = member.groupBy("run").agg(F.min_by(F.struct("node", "n", "bits", "comp"), F.xxhash64(F.lit(seed), "node")).alias("r"))
+        stars = member.alias("l").join(lead.select(F.col("run").alias("of"), "r.*").alias("r"), (F.col("l.run") == F.col("r.of")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
+        stars = materialize(stars.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "stars")
+        more = materialize(_verify(stars, docs, classes, percent), "links")
+        discard(stars)
+        if more.isEmpty():
+            break
+        discard(member)
+        comp = _contracted(comp, more)
+        links = links.unionByName(more)
     several = groups.where("size > 1").select("g")
     small = found.where("small").select("a", "b").distinct()
     small = materialize(small.join(several.withColumnRenamed("g", "a"), "a", "left_semi").unionByName(small.join(several.withColumnRenamed("g", "b"), "b", "left_semi")).distinct(), "small")
@@ -454,11 +506,12 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         more = _verify(materialize(across.distinct(), "across"), docs, classes, percent)
         more = materialize(more, "links")
         if not more.isEmpty():
-            comp = materialize(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "components")
+            comp = _contracted(comp, more)
             links = links.unionByName(more)
     named = classes.select("node", "n", "h1", "h2", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.drop("doc_id").join(least, "comp"), "named")
+    discard(classes, candidates, comp, small, member, runs)
     rows = rows.select("doc_id", "text_hash", "n", "h1", "h2").join(named.select("n", "h1", "h2", "node", "comp", "component_id"), ["n", "h1", "h2"], "left")
     return rows, named, links
 
