@@ -24,10 +24,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="kinelake-shared-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -81,6 +84,19 @@ def discard(*tables: DataFrame) -> None:
         _written.remove((spark, path))
 
 
+def n_written() -> int:
+    """How many tables are there now, for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written after :func:`n_written` gave ``mark``, but for those of ``keep``, which need none of them once written."""
+    for spark, path in _written[mark:]:
+        if (spark, path) not in [df._kinelake_table for df in keep]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

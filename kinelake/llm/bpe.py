@@ -11,6 +11,10 @@ white space to one space, lower case per character, and the letter/number/other
 characters from U+0250 on go through the tokenizer library's own normaliser and splitter, because
 Unicode tables differ between versions; below that a compiled pattern gives the same pieces.
 
+Memory: an index covers the words that an Arrow batch of at most 4 MB (or one longer text, ``STRETCH`` characters at a time) brings
+anew; what a partition has encoded before is in a cache of ``CACHE`` words, so each distinct word of a partition goes through an index
+once while it stays there.  One index over a whole partition would give the same ids and grow with the partition.
+
 Defined results: null text is empty (no ids, empty decoded text); repeated rows and equal ids each keep
 their row; extra columns are ignored; an empty table gives an empty one.  Texts are never truncated.
 """

@@ -8,6 +8,8 @@ A pair of neighbouring characters that stands inside no vocabulary piece can nev
 so texts are cut there first; equal stretches are counted once per worker through a two-generation
 cache of bounded size.  Nothing is truncated, whatever the length.
 
+Memory: an Arrow batch (4 MB, or one longer text) and a cache of ``CACHE`` short stretches for each worker.
+
 Defined results: null text counts as empty (0 bytes, 0 tokens); the empty text has 0 tokens; repeated
 rows and equal ids each keep their own row; extra columns are ignored; an empty table gives an empty one.
 """
