@@ -15,6 +15,8 @@ No step puts one source's documents, shards or blocks into one task: documents m
 blocks by number.  One task sees a row for each ``GROUP`` chunks or shards of a source (half a million documents,
 or 67 million words), and ``source_table`` one for each source.
 
+Memory: DataFrame operators only, whose sorts and joins spill; the table of sources is broadcast up to ``BROADCAST_SOURCES`` rows.
+
 Defined results: null text has size 0; documents of size 0 take 0 words; null sources form one source,
 last in order; a source without words has target 0; repeated rows are rows of their own; extra columns
 are ignored; an empty table gives an empty mix.  Reruns agree: all draws are hashes of fixed keys.
@@ -119,7 +121,7 @@ def slot_table(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     short = short.select("s", F.explode(F.sequence("start", F.col("start") + F.col("short") - 1)).alias("e"))
     moved = spare.join(short, "e").groupBy("shard", "s").agg(F.count("*").alias("m"))
     final = held.select("shard", "s", F.col("kept").alias("m")).unionByName(moved.select("shard", "s", "m")).groupBy("shard", "s").agg(F.sum("m").alias("m")).where("m > 0")
-    final = prefix_sums(final, "m", "shard", "s").join(sources.select("s", "blocks"), "s").repartition(parts, "shard", "s")  # few bytes here, many rows from here on
+    final = prefix_sums(materialize(final, "mix-final"), "m", "shard", "s").join(sources.select("s", "blocks"), "s").repartition(parts, "shard", "s")  # few bytes here, many rows from here on
     numbered = final.select("shard", "s", "blocks", F.explode(F.sequence("before", F.col("before") + F.col("m") - 1)).alias("j"))
     numbered = numbered.withColumn("pass", F.floor(F.col("j") / F.col("blocks")))
     return numbered.select("shard", "s", "j", "pass", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("s"), F.col("pass")).alias("block"))
@@ -152,7 +154,7 @@ def mix(sizes: DataFrame, weights=WEIGHTS, times: int = TIMES, block: int = BLOC
     """
     sources = materialize(source_table(sizes, weights, times, block), "mix-sources")
     docs = packed(sizes, sources)
-    taken = slot_table(sources, shard).groupBy("s", "block").agg(F.count("*").alias("takes"))
+    taken = materialize(slot_table(sources, shard).groupBy("s", "block").agg(F.count("*").alias("takes")), "mix-taken")
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block)
     parts = docs.where("size > 0").select("uid", "doc_id", "s", "size", "source_size", "target", "offset", F.explode(F.sequence(first, last)).alias("block"))
     parts = parts.withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("offset")))

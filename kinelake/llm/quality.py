@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kinelake.llm._common import bounded_batches, discard, materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, discard, discard_since, materialize, n_written, release, text_bytes
 from kinelake.llm._hashing import mixed, window_hashes, word_hashes
 
 ORDER = 5
@@ -244,7 +244,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         less = F.col("n") - 1
         low = F.when(less > 0, F.col("low")).otherwise(F.col("low_out"))
         out = F.when(F.col("total") == 1, low).otherwise((less - discount(less) + (F.col("held") - F.col("d") + discount(less)) * low) / F.nullif(F.col("total") - 1, F.lit(0)))
-        lower = g.select("lang", F.col("gram").alias("suffix"), p.alias("low"), out.alias("low_out"))
+        # Written at every order: one plan of all orders is large, and the driver keeps it and each of its revisions.
+        last, lower = lower, materialize(g.select("lang", F.col("gram").alias("suffix"), p.alias("low"), out.alias("low_out")), f"lower{k}")
+        discard(*[x for x in (last, orders[k] if k < ORDER else None) if x is not None])
     # The least positive number stands in where nothing is left to back off to.
     return lower.select("lang", F.col("suffix").alias("gram"), F.log("low").alias("logp"), F.log(F.greatest("low_out", F.lit(1e-12))).alias("logp_out"))
 
@@ -401,11 +403,11 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, low: float = LOW, high: float = HIGH, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns ``keep``), figures, ``base_failed``, ``kept``, ``perplexity`` and its band."""
-    grams = materialize(ngram_counts(docs), "grams")
-    model = materialize(kneser_ney(grams), "probabilities")
+    mark = n_written()
+    model = kneser_ney(materialize(ngram_counts(docs), "grams"))
     scored = score(docs, model, broadcast_grams, keep=keep)
-    discard(grams, model)
     limits = materialize(bands(scored), "limits")
+    discard_since(mark, scored, limits)
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     wide = F.col("deviation") * _scale(F.col("word_chars") + F.col("n_words"))

@@ -10,6 +10,9 @@ until they fit the broadcast.  Values at or above ``threshold`` that base spans
 wholly become ``guess`` spans, beside the base spans that touch them.  A value's cost is found by one left-to-right programme over its characters, so its time
 grows with its length only.  Base spans are never removed.
 
+Memory: a task holds an Arrow batch (4 MB, or one longer text), ``FLUSH_WORDS`` words while it counts, and the ranked list (at most ``LISTED``
+words, also held by the driver).
+
 Defined results: null text is empty; a document without findings has zero counts, the digest of the empty
 string and empty ``spans``; repeated rows and ids keep their own rows; extra columns are ignored.
 """
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm._common import bounded_batches, materialize, release, text_bytes
+from kinelake.llm._common import bounded_batches, discard, materialize, release, text_bytes
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -108,9 +111,11 @@ def ranked_words(docs: DataFrame, text_col: str = "text", listed: int = LISTED)
         if have + n > listed:
             break
         least, have = s, have + n
-    rows = found.where(step >= least).collect() if least is not None else []
-    words = [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word)) if r.word not in RANK]
-    return Words(RANK | {w: len(RANK) + 1 + i for i, w in enumerate(words)})
+    words = [] if least is None else found.where(step >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])["word"].to_pylist()
+    discard(found)
+    release()
+    new = (w for w in words if w not in RANK)
+    return Words(RANK | {w: len(RANK) + 1 + i for i, w in enumerate(new)})
 
 
 def _charset(c: str) -> float:
