@@ -15,14 +15,15 @@ their sets' Jaccard similarity is at least ``percent``.
    runs give all their pairs; large runs give stars around a few of their groups.  Pairs are filtered by size and
    by the parity bitmaps of their sets (two sets differ in at least as many shingles as their bitmaps in bits),
    then verified on the whole texts, one class standing for each group and linked to the group's others.
-4. The links found contract most large runs to one component each.  Runs that still hold so many components that their
-   pairs across outnumber their members get further rounds of stars around other leaders, contracted each time.  For runs
-   that hold several after that, and for pairs of small runs whose groups hold several classes, all pairs across
-   components (size and bitmap filters inside the join) are verified.  A link inside a component needs no check, a
-   link across is checked: components are exact, and no group's pairs are all emitted.
+4. The links found contract most large runs to one component each.  Runs that still hold several, with those of groups
+   of several classes and of pairs of small runs with such a group, are dealt out in blocks of ``BLOCK`` members; a task meets
+   two blocks, finds the pairs across components that pass the size and bitmap filters, and returns all of them if they are few
+   for its members, else the nearest of each component and how many it held back.  They are verified and contracted, and
+   rounds go on until nothing is held back: components are exact, and no task returns more than a multiple of its members.
+   That multiple grows only after a round without links, or after ``ROUNDS``.
 
-Memory: a task holds ``CHUNK`` bytes of text with their hashes (or one longer text), or about ``RANGE`` filed shingles; the driver and
-every worker hold at most ``LISTED`` counted shingles.
+Memory: a task holds ``CHUNK`` bytes of text with their hashes (or one longer text), or about ``RANGE`` filed shingles, or
+about ``MET`` members of runs with two blocks' bits; the driver and every worker hold at most ``LISTED`` counted shingles.
 
 Defined results: null or blank text has the empty set, links with nothing and is its own component; fewer words
 than a shingle make one shingle of the whole; rows that share an id but not the text are different documents; a null
@@ -54,17 +55,20 @@ RANGE = 1_000_000
 #: Runs up to this size give all pairs; larger ones give stars around ``LEADERS`` groups.
 SMALL_RUN = 4
 LEADERS = 3
-#: Further rounds of stars at most, and pairs across components for each member of a run from which a round is worth its while.
+#: Pairs across components for each member up to which a task returns them all, and the nearest of each component it returns beyond.
+WORTH = 1
+NEAREST = 2
+#: Rounds after which a task may return ``WIDER`` times as much each time; a round without links has the same effect.
 ROUNDS = 4
-WORTH = 4
-#: A round goes on only if the last left at most this share of the pairs across components.
-GAIN = 0.7
+WIDER = 8
+#: Members of a block, of those of them compared at once, and of the blocks that one task meets on average.
+BLOCK = 1024
+STRIP = 256
+MET = 20_000
 #: Documents from which a shingle's run is too large for one task.
 HOT_RUN = 1_000_000
 #: Nodes and runs up to which a table of them is broadcast (about 30 bytes each).
 BROADCAST_NODES = 1_000_000
-#: Classes of a group that one row of a pair's other group meets in a task.
-SALT = 64
 BITS = 1024
 ONE = np.uint64(1)
 
@@ -376,22 +380,6 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _across_groups(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes ``a, b`` in different components, of the pairs of groups ``a, b`` of which one holds several classes.
-
-    ``named``: ``node, g, n, bits, comp``.  A group's classes are dealt out by ``SALT``, so no task meets a large group whole.
-    """
-    held = materialize(named.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "held")
-    x, y = (held.select(F.col("g").alias(k), F.struct("size", "lo", "hi").alias(f"h{k}")) for k in "ab")
-    wanted = pairs.join(x, "a").join(y, "b").where("ha.size > 1 OR hb.size > 1").where("least(ha.lo, hb.lo) < greatest(ha.hi, hb.hi)")
-    deals = lambda size: F.ceil(size / SALT).cast("long")
-    left = wanted.select(F.col("a").alias("g"), "b", deals(F.col("hb.size")).alias("deals")).join(named, "g")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
-    right = named.join(held.select("g", deals(F.col("size")).alias("deals")), "g").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deals")))
-    met = left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.g")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
-    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes ``a, b`` whose whole texts link."""
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "text_hash"), "node"), "nodes")
@@ -411,21 +399,79 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _of_several(runs: DataFrame, named: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows ``run, node, comp, n, bits``: the members of the runs that hold several components."""
-    member = runs.join(named, "g").select("run", "node", "comp")
-    several = materialize(member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run"), "mixed")
+def _of_several(member: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """``member`` (``run, node, comp``, ...) of the runs that hold several components, with ``size``, the run's; ``sets`` adds ``n, bits``."""
+    several = member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    several = materialize(several.select("run", "size"), "mixed")
     few = F.broadcast(several) if several.count() <= BROADCAST_NODES else several
-    out = materialize(member.join(few, "run").join(sets, "node"), "members")
+    out = member.join(few, "run")
+    out = materialize(out if sets is None else out.join(sets, "node"), "members")
     discard(several)
     return out
 
 
-def _across(member: DataFrame) -> tuple[int, float]:
-    """How many members the runs have, and how many pairs of them lie across components."""
-    of_run = member.groupBy("run", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("run").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("inside"))
-    members, pairs = of_run.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
-    return int(members or 0), pairs or 0.0
+def _near(comp: np.ndarray, n: np.ndarray, block: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions ``a < b`` of the pairs across components that may link, and how far apart their bitmaps are for their sizes.
+
+    With members of two blocks, pairs across the blocks only.
+    """
+    flat = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
+    ones, two, out = flat.sum(axis=1), block.min() < block.max(), []
+    for at in range(0, len(n), STRIP):
+        rows = slice(at, at + STRIP)
+        differ = (ones[rows, None] + ones - 2 * (flat[rows] @ flat.T)).astype(np.int64)  # whole numbers below 2**24: exact
+        x, y = n[rows, None], n[None, :]
+        ok = (comp[rows, None] != comp) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
+        if two:
+            ok &= block[rows, None] != block
+        ok &= np.arange(len(n)) > np.arange(at, at + len(ok))[:, None]
+        a, b = np.nonzero(ok)
+        out.append(((a + at).astype(np.int32), b.astype(np.int32), (differ[a, b] / (n[a + at] + n[b])).astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _meet(percent: int, worth: int, nearest: int):
+    def run(table: pa.Table) -> pa.Table:
+        name, i, j, block, node, comp, n = (table[c].to_numpy() for c in ("run", "i", "j", "block", "node", "comp", "n"))
+        bits = table["bits"].combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
+        order = np.lexsort((j, i, name))
+        name, i, j = name[order], i[order], j[order]
+        edges = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        pairs, held = [], 0
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            if i[lo] < j[lo] and block[at].min() == block[at].max():
+                continue  # the other block is empty
+            of = comp[at]
+            a, b, far = _near(of, n[at], block[at], bits[at], percent)
+            if len(a) > worth * len(at):  # too many: the nearest of each component
+                both, pair = np.concatenate([of[a], of[b]]), np.tile(np.arange(len(a), dtype=np.int32), 2)
+                by = np.lexsort((far[pair], both))
+                both, pair = both[by], pair[by]
+                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                rank = np.arange(len(both)) - np.repeat(first, np.diff(first, append=len(both)))
+                kept = np.unique(pair[rank < nearest])
+                held += len(a) - len(kept)
+                a, b = a[kept], b[kept]
+            x, y = node[at[a]], node[at[b]]
+            pairs.append((np.minimum(x, y), np.maximum(x, y)))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (node[:0], node[:0])
+        # the last row has no pair but the number of those held back
+        return pa.table({"a": pa.array([*a.tolist(), None], pa.int64()), "b": pa.array([*b.tolist(), None], pa.int64()), "held": pa.array([0] * len(a) + [held], pa.int64())})
+
+    return run
+
+
+def _met(member: DataFrame, percent: int, worth: int, nearest: int) -> tuple[DataFrame, int]:
+    """Pairs ``a, b`` across components that the members of one run may link, and how many more there are (some more than once)."""
+    deals = F.ceil(F.col("size") / BLOCK).cast("long")
+    dealt = member.withColumn("deals", deals).withColumn("block", F.pmod(F.xxhash64("node"), "deals")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
+    dealt = dealt.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
+    rows = member.agg(F.sum(deals)).first()[0]
+    tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // MET + 1)
+    found = dealt.groupBy(F.pmod(F.xxhash64("run", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(_meet(percent, worth, nearest), "a long, b long, held long")
+    found = materialize(found, "met")
+    return found.where("a IS NOT NULL").select("a", "b").distinct(), found.agg(F.sum("held")).first()[0]
 
 
 def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -461,57 +507,49 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     candidates = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
     found = candidates.unionByName(materialize(hot_runs(texts, order, percent), "hot-runs")) if any_hot else candidates
     order.destroy()  # all tables that need it are written
-    groups = classes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("size"))
-    leads = groups.select("g", "lead")
-    pairs = found.where("run IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(leads.select(F.col("g").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("g").alias("b"), F.col("lead").alias("y")), "b").select("x", "y")
-    inside = classes.join(leads, "g").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
-    pairs = pairs.unionByName(inside)
-    c = classes.select("node", "n", "bits")
-    pairs = pairs.join(c.alias("l"), F.col("x") == F.col("l.node")).join(c.alias("r"), (F.col("y") == F.col("r.node")) & _may_link("l", "r", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = materialize(pairs, "pairs")
+    sets = classes.select("node", "n", "bits")
+    groups = materialize(classes.groupBy("g").agg(F.min(F.struct("node", "n", "bits")).alias("lead"), F.count("*").alias("size")), "groups")
+    of = lambda side, as_: groups.select(F.col("g").alias(side), F.col("lead").alias(as_))
+    pairs = found.where("run IS NULL").select("a", "b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").where(_may_link("x", "y", percent))
+    several = groups.where("size > 1")
+    inside = classes.select("g", F.struct("node", "n", "bits").alias("y")).join(several.select("g", F.col("lead").alias("x")), "g").where("x.node <> y.node").where(_may_link("x", "y", percent))
+    pairs = materialize(pairs.select("x.node", "y.node").union(inside.select("x.node", "y.node")).toDF("a", "b"), "pairs")
     links = materialize(_verify(pairs, docs, classes, percent), "links")
     discard(pairs)
     comp = materialize(components(links), "components")
-    # Runs and pairs of groups that still hold several components: more stars, then all pairs across components.
-    runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("g")).distinct().unionByName(groups.where("size > 1").select(F.col("g").alias("run"), "g"))
-    runs = materialize(runs, "runs")
-    before = np.inf
-    for seed in range(ROUNDS + 1):
-        named = classes.select("node", "g", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        member = _of_several(runs, named, c)
-        n_members, n_across = _across(member)
-        if seed == ROUNDS or n_across <= WORTH * n_members or n_across > GAIN * before:
-            break  # few pairs are left, or the last round hardly took any away
-        before = n_across
-        lead = member.groupBy("run").agg(F.min_by(F.struct("node", "n", "bits", "comp"), F.xxhash64(F.lit(seed), "node")).alias("r"))
-        stars = member.alias("l").join(lead.select(F.col("run").alias("of"), "r.*").alias("r"), (F.col("l.run") == F.col("r.of")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
-        stars = materialize(stars.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct(), "stars")
-        more = materialize(_verify(stars, docs, classes, percent), "links")
-        discard(stars)
-        if more.isEmpty():
-            break
-        discard(member)
-        comp = _contracted(comp, more)
-        links = links.unionByName(more)
-    several = groups.where("size > 1").select("g")
-    small = found.where("small").select("a", "b").distinct()
-    small = materialize(small.join(several.withColumnRenamed("g", "a"), "a", "left_semi").unionByName(small.join(several.withColumnRenamed("g", "b"), "b", "left_semi")).distinct(), "small")
-    across = None if small.isEmpty() else _across_groups(small, named.join(c.select("node", "bits"), "node"), percent)
-    if not member.isEmpty():
-        in_runs = member.alias("l").join(member.alias("r"), (F.col("l.run") == F.col("r.run")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & _may_link("l", "r", percent))
-        in_runs = in_runs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        across = in_runs if across is None else across.unionByName(in_runs)
-    if across is not None:
-        more = _verify(materialize(across.distinct(), "across"), docs, classes, percent)
-        more = materialize(more, "links")
-        if not more.isEmpty():
+    # Runs, groups of several classes and pairs of small runs with such a group: what they hold of several components meets.
+    runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("g")).unionByName(several.select(F.col("g").alias("run"), "g"))
+    if n_several := several.count():
+        few = lambda side: (F.broadcast if n_several <= BROADCAST_NODES else lambda x: x)(several.select(F.col("g").alias(side), F.lit(True).alias(f"in_{side}")))
+        small = found.where("small").select("a", "b").distinct().join(few("a"), "a", "left").join(few("b"), "b", "left").where("in_a OR in_b")
+        runs = runs.unionByName(small.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("g")))
+    runs = materialize(runs.distinct(), "runs")
+    named = classes.select("node", "g").join(comp, "node", "left").select("node", "g", F.coalesce("comp", "node").alias("comp"))
+    all_members = materialize(runs.join(named, "g").select("run", "node", "comp"), "run-members")
+    member = _of_several(all_members, sets)
+    discard(all_members)
+    worth, nearest, turn = WORTH, NEAREST, 0
+    while not member.isEmpty():
+        near, held = _met(member, percent, worth, nearest)
+        more = materialize(_verify(near, docs, classes, percent), "links")
+        none = more.isEmpty()
+        if not none:
             comp = _contracted(comp, more)
             links = links.unionByName(more)
+        if not held:
+            break  # all pairs across components were verified
+        turn += 1
+        if none or turn >= ROUNDS:
+            worth, nearest = WIDER * max(1, worth), WIDER * nearest
+        if not none:
+            again = member.drop("size", "comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            again = _of_several(materialize(again, "run-members"))
+            discard(member)
+            member = again
     named = classes.select("node", "n", "h1", "h2", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialize(named.drop("doc_id").join(least, "comp"), "named")
-    discard(classes, candidates, comp, small, member, runs)
+    discard(classes, candidates, groups, comp, member, runs)
     rows = rows.select("doc_id", "text_hash", "n", "h1", "h2").join(named.select("n", "h1", "h2", "node", "comp", "component_id"), ["n", "h1", "h2"], "left")
     return rows, named, links
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,11 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_of_many_links(spark, monkeypatch):
+    monkeypatch.setattr("kinelake.llm.components.ONE_TASK", 0)
+    test_components(spark)
+
+
 # Quality
 
 
@@ -460,6 +466,62 @@ def test_groups_of_several_classes(spark, tmp_path):
     assert {c for d, _, c in got if d in (0, 2)} == {0} and {c for d, _, c in got if d in (1, 3)} == {1}
 
 
+def join_rows(spark, run):
+    """Rows that each join of what ``run`` executes makes, by the join's keys; those of equal keys together."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    made, done = defaultdict(int), store.executionsList()
+    for e in (done.apply(i).executionId() for i in range(before, done.size())):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    keys = re.sub(r"#\d+L?", "", " ".join(re.findall(r"\[[^\]]*\]", node.desc())[:2]))
+                    made[keys] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def near_copies():
+    """Copies of one text with up to seven words changed each: most link, many do not, and their prefixes share many shingles."""
+    rng = random.Random(11)
+    base = words(rng, 150, 10**9).split()
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([1, *[2] * 3, *[3] * 10, *[4, 5, 6, 7] * 2])):
+            text[at] = words(rng, 1, 10**9)
+        rows.append((i, " ".join(text), "en", "s"))
+    return rows
+
+
+def memberships(spark, rows):
+    """How many members the runs have that are too large to give all their pairs."""
+    order = J.Order(*J.frequent_shingles(corpus(spark, rows).select("text"), 10**5, 4))
+    count = Counter(t for s in J.shingle_sets([t.encode() for _, t, *_ in rows]) for t in order.prefix(s, 75).tolist())
+    return sum(n for n in count.values() if n > J.SMALL_RUN)
+
+
+def test_near_copies_across_components(spark, tmp_path):
+    """No join pairs the members of a run with each other."""
+    rows = near_copies()
+    corpus(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = []
+    made = join_rows(spark, lambda: got.extend(J.op7_jaccard(spark, str(tmp_path)).collect()))
+    want = brute_components(rows)
+    assert sorted((tuple(r) for r in got), key=str) == want and 20 < len({c for *_, c in want}) < 200
+    assert 0 < made["[run] [run]"] <= 3 * memberships(spark, rows), dict(made)  # once in each round
+
+
+def test_members_of_runs_joined_once(spark):
+    """The runs' groups meet their classes once, however many rounds follow."""
+    rows = near_copies()
+    made = join_rows(spark, lambda: J.jaccard_stage(spark, corpus(spark, rows), "").collect())
+    assert 0 < made["[g] [g]"] <= memberships(spark, rows), dict(made)
+
+
 def test_jaccard_empty(spark, tmp_path):
     assert J.op7_jaccard(spark, _empty(spark, corpus(spark, []), tmp_path)).count() == 0
 
