@@ -14,6 +14,7 @@ their sets' Jaccard similarity is at least ``percent``.
    stars around leaders found by aggregation).  Small
    runs give all their pairs; large runs give stars around a few of their groups.  Pairs are filtered by size and
    by the parity bitmaps of their sets (two sets differ in at least as many shingles as their bitmaps in bits),
+   which for pairs of runs widen with the sets (2 to 4 bits a shingle, ``WIDEST`` at most),
    then verified on the whole texts, one class standing for each group and linked to the group's others.
 4. The links found contract most large runs to one component each.  Runs that still hold several, with those of groups
    of several classes and of pairs of small runs with such a group, are dealt out in blocks of ``BLOCK`` members; a task meets
@@ -70,6 +71,8 @@ HOT_RUN = 1_000_000
 #: Nodes and runs up to which a table of them is broadcast (about 30 bytes each).
 BROADCAST_NODES = 1_000_000
 BITS = 1024
+#: Bits of the wide bitmaps of sets too large for ``BITS``, at most (8 KB).
+WIDEST = 1 << 16
 ONE = np.uint64(1)
 
 
@@ -135,12 +138,28 @@ def group_key(prefix: np.ndarray, n: int) -> int:
     return int(_signed(mixed((prefix * powers(len(prefix))).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)))[0])
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles that fall on each of ``BITS`` bits, as 64-bit words."""
-    odd = (np.bincount((s >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
+def bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity of the number of shingles that fall on each of ``bits`` bits (a power of two), as 64-bit words."""
+    odd = (np.bincount((s >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def bitmaps(s: np.ndarray) -> tuple[np.ndarray, bytes | None]:
+    """The bitmap of ``BITS`` bits, and that of 2 to 4 bits for each shingle if it is wider (up to ``WIDEST``)."""
+    width = min(WIDEST, 1 << (2 * len(s)).bit_length())
+    if width <= BITS:
+        return bitmap(s), None
+    wide = bitmap(s, width)
+    return folded(wide, BITS // 64), wide.tobytes()
+
+
+def folded(wide: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap brought to fewer bits: parities of bits that then fall together add up."""
+    while len(wide) > words:
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide
+
+
 def _chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         texts = text_bytes(batch.column(column))
@@ -218,63 +237,70 @@ def frequent_shingles(texts: DataFrame, n_bytes: int, ranges: int, listed: int =
     return slots[order], counts[order], shift
 
 
-PROFILE = "doc_id {}, text_hash long, n long, h1 long, h2 long, g long, bits array<long>"
+PROFILE = "doc_id {}, text_hash long, n long, h1 long, h2 long, g long, bits array<long>, wide binary"
+
 
+def profiles(docs: DataFrame, order, percent: int, ranges: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-def profiles(docs: DataFrame, order, percent: int) -> DataFrame:
-    """For every row its set's size and two hashes, the group of its prefix, and its bitmap."""
+    For every row of ``docs`` its set's size and two hashes, the group of its prefix, and its bitmaps; with ``range`` and
+    ``payload``, packed (shingle, group, size): every group of a chunk files its prefix once.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = f"{PROFILE.format(rows.schema['doc_id'].dataType.simpleString())}, range int, payload binary"
+    names = ["doc_id", "text_hash", "n", "h1", "h2", "g", "bits", "wide", "range", "payload"]
+    words = BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for part, raw in _chunked(batches, 2):
-            n, h1, h2, g, bits = [], [], [], [], []
+            n, h1, h2, g, bits, wide = [], [], [], [], [], []
+            groups: dict[int, tuple[int, np.ndarray]] = {}
             for s in shingle_sets(raw):
                 n.append(len(s))
                 sums = [mixed(s + np.uint64(c)).sum(keepdims=True, dtype=np.uint64) for c in (1, 2)]
                 h1.append(int(_signed(sums[0])[0]))
                 h2.append(int(_signed(sums[1])[0]))
-                g.append(group_key(o.prefix(s, percent), len(s)) if len(s) else 0)
-                bits.append(bitmap(s))
-            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            arrays = [part.column(0), part.column(1), *[pa.array(x, pa.int64()) for x in (n, h1, h2, g)], pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64), flat)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n", "h1", "h2", "g", "bits"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, PROFILE.format(rows.schema["doc_id"].dataType.simpleString()))
-
-
-def filed_prefixes(texts: DataFrame, order, percent: int, ranges: int) -> DataFrame:
-    """Packed rows of (shingle, group, size): every group of a chunk files its prefix once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = order.value
-        for _, raw in _chunked(batches, 0):
-            groups: dict[int, tuple[int, np.ndarray]] = {}
-            for s in shingle_sets(raw):
+                g.append(0)
                 if len(s):
                     p = o.prefix(s, percent)
-                    groups.setdefault(group_key(p, len(s)), (len(s), p))
-            if not groups:
-                continue
-            keys = np.array(list(groups), np.int64)
-            sizes = np.array([n for n, _ in groups.values()], np.int32)
-            tokens = np.concatenate([p for _, p in groups.values()])
-            owner = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for _, p in groups.values()])
-            at = np.flatnonzero(~o.hot(tokens))
-            at = at[np.argsort(tokens[at])]
-            tokens, owner = tokens[at], owner[at]
-            where = (mixed(tokens) % np.uint64(ranges)).astype(np.int64)
-            at = np.argsort(where, kind="stable")
-            tokens, owner, where = tokens[at], owner[at], where[at]
-            low = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:])  # the upper 40 bits; the range holds some of the rest
-            present, begins = np.unique(where, return_index=True)
-            out = []
-            for b, i, j in zip(present.tolist(), begins.tolist(), [*begins[1:].tolist(), len(where)], strict=True):
-                used, index = np.unique(owner[i:j], return_inverse=True)
-                out.append((b, _pack(keys[used], sizes[used].astype("<i4"), index.astype("<i4"), low[i:j].ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["range", "payload"])
-
-    return texts.mapInArrow(run, "range int, payload binary")
+                    g[-1] = group_key(p, len(s))
+                    groups.setdefault(g[-1], (len(s), p))
+                narrow, broad = bitmaps(s)
+                bits.append(narrow)
+                wide.append(broad)
+            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * words, flat)
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.int64()) for x in (n, h1, h2, g)], lists, pa.array(wide, pa.binary()), *none], names=names)
+            if out := _filed(groups, o, ranges):
+                empty = [pa.nulls(len(out), t) for t in (part.column(0).type, *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _filed(groups: dict[int, tuple[int, np.ndarray]], o: Order, ranges: int) -> list[tuple[int, bytes]]:
+    """The prefixes of groups, packed by range."""
+    if not groups:
+        return []
+    keys = np.array(list(groups), np.int64)
+    sizes = np.array([n for n, _ in groups.values()], np.int32)
+    tokens = np.concatenate([p for _, p in groups.values()])
+    owner = np.repeat(np.arange(len(groups), dtype=np.int32), [len(p) for _, p in groups.values()])
+    at = np.flatnonzero(~o.hot(tokens))
+    at = at[np.argsort(tokens[at])]
+    tokens, owner = tokens[at], owner[at]
+    where = (mixed(tokens) % np.uint64(ranges)).astype(np.int64)
+    at = np.argsort(where, kind="stable")
+    tokens, owner, where = tokens[at], owner[at], where[at]
+    low = np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:])  # the upper 40 bits; the range holds some of the rest
+    present, begins = np.unique(where, return_index=True)
+    out = []
+    for b, i, j in zip(present.tolist(), begins.tolist(), [*begins[1:].tolist(), len(where)], strict=True):
+        used, index = np.unique(owner[i:j], return_inverse=True)
+        out.append((b, _pack(keys[used], sizes[used].astype("<i4"), index.astype("<i4"), low[i:j].ravel())))
+    return out
 
 
 def hot_runs(texts: DataFrame, order, percent: int) -> DataFrame:
@@ -392,7 +418,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                x, y = shingle_sets(text_bytes(part.column(2))), shingle_sets(text_bytes(part.column(3)))
+                texts = dict(zip(part.column(0).to_pylist(), text_bytes(part.column(2)), strict=True)) | dict(zip(part.column(1).to_pylist(), text_bytes(part.column(3)), strict=True))
+                sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))  # a node of several pairs is hashed once
+                x, y = ([sets[node] for node in part.column(k).to_pylist()] for k in (0, 1))
                 common = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array([100 * c >= percent * (len(s) + len(t) - c) for c, s, t in zip(common, x, y, strict=True)]))
 
@@ -400,7 +428,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
 
 
 def _of_several(member: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """``member`` (``run, node, comp``, ...) of the runs that hold several components, with ``size``, the run's; ``sets`` adds ``n, bits``."""
+    """``member`` (``run, node, comp``, ...) of the runs that hold several components, with ``size``, the run's; ``sets`` adds ``n, bits, wide``."""
     several = member.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     several = materialize(several.select("run", "size"), "mixed")
     few = F.broadcast(several) if several.count() <= BROADCAST_NODES else several
@@ -410,23 +438,45 @@ def _of_several(member: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def _near(comp: np.ndarray, n: np.ndarray, block: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions ``a < b`` of the pairs across components that may link, and how far apart their bitmaps are for their sizes.
+def _wide_near(a: np.ndarray, b: np.ndarray, n: np.ndarray, wide: list[bytes | None], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may link by their wide bitmaps (all of those without), and in how many bits these differ (else -1)."""
+    length = np.array([len(w) if w else 0 for w in wide])
+    size = np.minimum(length[a], length[b])
+    differ = np.full(len(a), -1)
+    for one in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == one)
+        used, index = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        rows = np.stack([folded(np.frombuffer(wide[k], np.uint64), one // 8) for k in used.tolist()])
+        for lo in range(0, len(at), step := max(1, (8 << 20) // one)):
+            x, y = index[lo : lo + step][: len(at) - lo], index[len(at) + lo : len(at) + lo + step]
+            differ[at[lo : lo + step]] = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64)
+    return (100 + percent) * differ <= (100 - percent) * (n[a] + n[b]), differ
+
+
+def _near(comp: np.ndarray, n: np.ndarray, block: np.ndarray, bits: np.ndarray, wide: list[bytes | None], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs across components that may link, and how far apart their bitmaps are for their sizes.
 
-    With members of two blocks, pairs across the blocks only.
+    With members of two blocks, pairs across the blocks only.  Members are met in the order of their sizes, each strip
+    with those that are not too large for it.
     """
+    order = np.argsort(n, kind="stable")
+    comp, n, block, bits, wide = comp[order], n[order], block[order], bits[order], [wide[k] for k in order.tolist()]
     flat = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
     ones, two, out = flat.sum(axis=1), block.min() < block.max(), []
     for at in range(0, len(n), STRIP):
-        rows = slice(at, at + STRIP)
-        differ = (ones[rows, None] + ones - 2 * (flat[rows] @ flat.T)).astype(np.int64)  # whole numbers below 2**24: exact
-        x, y = n[rows, None], n[None, :]
-        ok = (comp[rows, None] != comp) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
+        end = min(at + STRIP, len(n))
+        rows, cols = slice(at, end), slice(at, np.searchsorted(n, 100 * n[end - 1] // percent, "right"))
+        differ = ones[rows, None] + ones[cols] - 2 * (flat[rows] @ flat[cols].T)  # whole numbers below 2**24: exact
+        x, y = n[rows, None], n[None, cols]
+        ok = (comp[rows, None] != comp[cols]) & (100 * x >= percent * y) & (differ <= np.minimum((100 - percent) * (x + y) // (100 + percent), BITS).astype(np.float32))
         if two:
-            ok &= block[rows, None] != block
-        ok &= np.arange(len(n)) > np.arange(at, at + len(ok))[:, None]
-        a, b = np.nonzero(ok)
-        out.append(((a + at).astype(np.int32), b.astype(np.int32), (differ[a, b] / (n[a + at] + n[b])).astype(np.float32)))
+            ok &= block[rows, None] != block[cols]
+        a, b = np.nonzero(np.triu(ok, 1))
+        bits_apart = differ[a, b]
+        a, b = a + at, b + at
+        ok, wide_apart = _wide_near(a, b, n, wide, percent)
+        far = np.where(wide_apart < 0, bits_apart, wide_apart) / (n[a] + n[b])
+        out.append((order[a[ok]].astype(np.int32), order[b[ok]].astype(np.int32), far[ok].astype(np.float32)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -434,6 +484,7 @@ def _meet(percent: int, worth: int, nearest: int):
     def run(table: pa.Table) -> pa.Table:
         name, i, j, block, node, comp, n = (table[c].to_numpy() for c in ("run", "i", "j", "block", "node", "comp", "n"))
         bits = table["bits"].combine_chunks().flatten().to_numpy().reshape(-1, BITS // 64)
+        wide = table["wide"].to_pylist()
         order = np.lexsort((j, i, name))
         name, i, j = name[order], i[order], j[order]
         edges = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
@@ -443,7 +494,7 @@ def _meet(percent: int, worth: int, nearest: int):
             if i[lo] < j[lo] and block[at].min() == block[at].max():
                 continue  # the other block is empty
             of = comp[at]
-            a, b, far = _near(of, n[at], block[at], bits[at], percent)
+            a, b, far = _near(of, n[at], block[at], bits[at], [wide[k] for k in at.tolist()], percent)
             if len(a) > worth * len(at):  # too many: the nearest of each component
                 both, pair = np.concatenate([of[a], of[b]]), np.tile(np.arange(len(a), dtype=np.int32), 2)
                 by = np.lexsort((far[pair], both))
@@ -466,7 +517,7 @@ def _met(member: DataFrame, percent: int, worth: int, nearest: int) -> tuple[Dat
     """Pairs ``a, b`` across components that the members of one run may link, and how many more there are (some more than once)."""
     deals = F.ceil(F.col("size") / BLOCK).cast("long")
     dealt = member.withColumn("deals", deals).withColumn("block", F.pmod(F.xxhash64("node"), "deals")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
-    dealt = dealt.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits")
+    dealt = dealt.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n", "bits", "wide")
     rows = member.agg(F.sum(deals)).first()[0]
     tasks = max(int(member.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // MET + 1)
     found = dealt.groupBy(F.pmod(F.xxhash64("run", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(_meet(percent, worth, nearest), "a long, b long, held long")
@@ -500,14 +551,18 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     order, any_hot = spark.sparkContext.broadcast(ordering), ordering.any_hot
     del ordering
     release()
-    rows = materialize(profiles(docs, order, percent), "profiles")
-    full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"))
-    classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "rep.doc_id", "rep.text_hash"), "classes")
     ranges = max(parts, n_bytes // 24 // RANGE + 1)
-    candidates = materialize(filed_prefixes(texts, order, percent, ranges).groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
+    profiled = materialize(profiles(docs, order, percent, ranges), "profiles")
+    rows = profiled.where("range IS NULL").drop("range", "payload")
+    full = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("g").alias("g"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
+    classes = materialize(full.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "g", "bits", "wide", "rep.doc_id", "rep.text_hash"), "classes")
+    filed = profiled.where("range IS NOT NULL").select("range", "payload")
+    candidates = materialize(filed.groupBy("range").applyInArrow(_join_range(percent), "run long, a long, b long, small boolean"), "candidates")
+    rows = materialize(rows.select("doc_id", "text_hash", "n", "h1", "h2"), "rows")
+    discard(profiled)
     found = candidates.unionByName(materialize(hot_runs(texts, order, percent), "hot-runs")) if any_hot else candidates
     order.destroy()  # all tables that need it are written
-    sets = classes.select("node", "n", "bits")
+    sets = classes.select("node", "n", "bits", "wide")
     groups = materialize(classes.groupBy("g").agg(F.min(F.struct("node", "n", "bits")).alias("lead"), F.count("*").alias("size")), "groups")
     of = lambda side, as_: groups.select(F.col("g").alias(side), F.col("lead").alias(as_))
     pairs = found.where("run IS NULL").select("a", "b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").where(_may_link("x", "y", percent))

@@ -522,6 +522,39 @@ def test_members_of_runs_joined_once(spark):
     assert 0 < made["[g] [g]"] <= memberships(spark, rows), dict(made)
 
 
+def test_long_texts_of_a_run_are_told_apart_by_bitmaps(spark, tmp_path, monkeypatch):
+    """Long texts that share a third of their shingles fill any bitmap of 1,024 bits; wider ones spare the check of whole texts."""
+    rng = random.Random(3)
+    shared, near = words(rng, 1000, 10**9), words(rng, 3000, 10**9).split()
+    texts = [f"{words(rng, 2000, 10**9)} {shared}" for _ in range(10)]
+    texts += [" ".join(near[:at] + words(rng, n, 10**9).split() + near[at + n :]) for at, n in ((0, 0), (500, 40), (1500, 150), (2500, 300), (1000, 900))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    corpus(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    verify, checked = J._verify, []
+    monkeypatch.setattr(J, "_verify", lambda pairs, *rest: checked.append(pairs.count()) or verify(pairs, *rest))
+    got = sorted((tuple(r) for r in J.op7_jaccard(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert sum(checked[1:]) <= 5, checked  # of the 45 pairs of the run
+
+
+def test_near_keeps_every_link():
+    """The pairs that the bitmaps leave hold all that link, whatever the sizes and widths, and each pair once."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 3, 50, 400, 511, 512, 513, 1000, 1024, 3000, 40_000):
+        base = rng.integers(0, 1 << 64, n, np.uint64)
+        sets += [np.unique(np.concatenate([base[int(n * cut) :], rng.integers(0, 1 << 64, int(n * more), np.uint64)])) for cut, more in ((0, 0), (0.1, 0), (0, 0.3), (0.24, 0), (0.1, 0.1), (0.5, 0.5))]
+    n = np.array([len(s) for s in sets])
+    bits, wide = zip(*(J.bitmaps(s) for s in sets), strict=True)
+    assert all((b == J.bitmap(s)).all() for b, s in zip(bits, sets, strict=True))
+    where = rng.permutation(len(sets))  # positions need not follow the sizes
+    a, b, _ = J._near(np.arange(len(sets)), n[where], where % 1, np.array(bits)[where], [wide[k] for k in where], 75)
+    got = [tuple(sorted(x)) for x in zip(where[a].tolist(), where[b].tolist(), strict=True)]
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * (c := common(i, j)) >= 75 * (n[i] + n[j] - c)}
+    assert len(set(got)) == len(got) and links <= set(got) and len(links) > 20
+
+
 def test_jaccard_empty(spark, tmp_path):
     assert J.op7_jaccard(spark, _empty(spark, corpus(spark, []), tmp_path)).count() == 0
 
