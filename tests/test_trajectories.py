@@ -150,6 +150,17 @@ def test_sources(spark, tmp_path):
     assert by_traj(Fr.read_dtrajs(spark, [str(tmp_path / "t.dtraj")])) == {0: [0, 1, 1]}
 
 
+def test_parquet_files_do_not_grow_with_trajectories(spark, tmp_path):
+    trajs = [np.arange(3.0 + i % 4)[:, None] + i for i in range(60)]
+    Fr.write_parquet(Fr.from_arrays(spark, trajs), str(tmp_path / "out"), stride=2)
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = Fr.get_output(spark.read.parquet(str(tmp_path / "out")))
+    assert len(back) == 60 and all(np.array_equal(x, y[::2]) for x, y in zip(back, trajs, strict=True))
+    held = [set(spark.read.parquet(str(f)).toPandas()["traj_id"]) for f in files]
+    assert sum(map(len, held)) == 60  # a trajectory is in one file
+
+
 def test_slices_and_merges(spark):
     a, b = np.arange(12.0).reshape(6, 2), np.arange(8.0).reshape(4, 2)
     x = Fr.from_arrays(spark, [a, b])
