@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,6 +138,40 @@ def forward_backward(p: np.ndarray, b: np.ndarray, start: np.ndarray, obs: np.nd
     return float(np.log(scale).sum()), gamma, c
 
 
+def expected_counts(p: np.ndarray, b: np.ndarray, start: np.ndarray, obs: np.ndarray, ends: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`forward_backward` summed over the sequences that end at ``ends`` in ``obs``: log-likelihood, first states, transitions, emissions.
+
+    All sequences take a step together, the longest first, so a batch takes as many steps as its longest has frames.
+    """
+    k, m = b.shape
+    begins = np.concatenate([[0], ends[:-1]])
+    length = ends - begins
+    order = np.argsort(-length, kind="stable")
+    begins, length = begins[order[: np.count_nonzero(length)]], length[order[: np.count_nonzero(length)]]
+    if not len(length):
+        return 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
+    running = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # how many have a frame t
+    at = np.concatenate([[0], np.cumsum(running)])
+    seen = obs[np.concatenate([begins[:r] + t for t, r in enumerate(running.tolist())])]  # frame by frame
+    e = b.T[seen]
+    alpha, beta, scale = np.empty((at[-1], k)), np.ones((at[-1], k)), np.empty(at[-1])
+    for t, r in enumerate(running.tolist()):
+        here = slice(at[t], at[t] + r)
+        a = (start if t == 0 else alpha[at[t - 1] : at[t - 1] + r] @ p) * e[here]
+        scale[here] = np.maximum(a.sum(1), 1e-300)
+        alpha[here] = a / scale[here, None]
+    trans = np.zeros((k, k))
+    for t in range(len(running) - 1, 0, -1):
+        here, before = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + running[t])
+        back = e[here] * beta[here] / scale[here, None]
+        beta[before] = back @ p.T
+        trans += alpha[before].T @ back
+    gamma = alpha * beta
+    gamma /= gamma.sum(1, keepdims=True)
+    emit = np.stack([np.bincount(seen, g, m) for g in gamma.T])
+    return float(np.log(scale).sum()), gamma[: running[0]].sum(0), p * trans, emit
+
+
 def sample_path(p: np.ndarray, b: np.ndarray, start: np.ndarray, obs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     n, k = len(obs), len(p)
     alpha = np.empty((n, k))
@@ -165,15 +200,16 @@ def _task_pass(seqs: DataFrame, p: np.ndarray, b: np.ndarray, start: np.ndarray,
         p, b, start = shared.value
         ll, first, trans, emit = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
         for batch in batches:
+            if sample_seed is None:
+                states = batch.column(2)
+                got = expected_counts(p, b, start, states.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(states).to_numpy(), dtype=np.int64))
+                ll, first, trans, emit = (x + y for x, y in zip((ll, first, trans, emit), got, strict=True))
+                continue
             for traj, phase, states in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 obs = np.array(states)
-                if sample_seed is None:
-                    one, gamma, c = forward_backward(p, b, start, obs)
-                    ll += one
-                else:
-                    path = sample_path(p, b, start, obs, np.random.default_rng([sample_seed, hash((traj, phase)) & 0x7FFFFFFF]))
-                    gamma, c = np.eye(k)[path], np.zeros((k, k))
-                    np.add.at(c, (path[:-1], path[1:]), 1)
+                path = sample_path(p, b, start, obs, np.random.default_rng([sample_seed, hash((traj, phase)) & 0x7FFFFFFF]))
+                gamma, c = np.eye(k)[path], np.zeros((k, k))
+                np.add.at(c, (path[:-1], path[1:]), 1)
                 first += gamma[0]
                 trans += c
                 np.add.at(emit.T, obs, gamma)

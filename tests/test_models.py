@@ -326,3 +326,20 @@ def test_info_cache(spark, tmp_path):
     small = TrajectoryInfoCache(max_entries=2)
     small.get(spark, names)
     assert len(small) == 2
+
+
+def test_expected_counts_of_many_sequences():
+    """Sequences that take their steps together count as one by one, whatever their lengths."""
+    from kinelake.operators.hmm import expected_counts, forward_backward
+
+    rng = np.random.default_rng(6)
+    p, b, start = (rng.dirichlet(np.ones(n), size) for n, size in ((3, 3), (4, 3), (3, None)))
+    seqs = [rng.integers(0, 4, n) for n in (1, 7, 0, 2, 200, 7, 1)]
+    got = expected_counts(p, b, start, np.concatenate(seqs), np.cumsum([len(s) for s in seqs]))
+    one = [(s, *forward_backward(p, b, start, s)) for s in seqs if len(s)]
+    emit = np.zeros((3, 4))
+    for s, _, gamma, _ in one:
+        np.add.at(emit.T, s, gamma)
+    want = (sum(x[1] for x in one), sum(x[2][0] for x in one), sum(x[3] for x in one), emit)
+    assert all(np.allclose(x, y, rtol=1e-12) for x, y in zip(got, want, strict=True))
+    assert expected_counts(p, b, start, seqs[0][:0], np.zeros(2, np.int64))[0] == 0
